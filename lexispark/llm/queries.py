@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash_dedup
+from . import mixing, quality_classifier, simhash_dedup, toxicity
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
