@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality_classifier, quality_rules, simhash_dedup, toxicity
+from . import decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
