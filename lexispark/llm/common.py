@@ -6,11 +6,13 @@ those six ASCII bytes, so texts travel to Python as UTF-8 and are never decoded
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,10 @@ def shared(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexispark-"))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    gc.collect()
+    sc._jvm.System.gc()  # lets the context cleaner drop the shuffles that the step has left behind
+    return kept
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -61,3 +66,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered for the words of recent texts."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = v = xxhash.xxh64_intdigest(word, 3)
+        return v

@@ -5,9 +5,9 @@ of the bits of their five-word shingles' hashes. Size classes are the items' siz
 geometric series, and an item is entered with its first, middle and last stretch of its class's size, so a text that
 holds the item holds those stretches at distance zero.
 
-Fingerprints are compared through four blocks of 16 bits. Two fingerprints that differ in at most `radius` bits differ in at
-most radius // 4 bits in some block, so a table for each block, of all values that near to an item's, lets all such
-windows through and hardly any other; survivors get the exact distance. Each hit is laid over the whole item, one word either way, and
+Fingerprints are compared through four blocks of 16 bits, or three of 21 or 22 where a class has many items. For each block a table
+holds, for each of its values, the distance to the nearest item's block; these distances add up to a lower bound, so all
+fingerprints within the radius pass and few others do; those get the exact distance. Each hit is laid over the whole item, one word either way, and
 counts if the weighted Jaccard similarity of the shingles (each counts as often as it occurs) is at least 0.8.
 
 The items are query rows: they are sent to the executors in blocks of MAX_ITEMS at most, one pass over the
@@ -24,29 +24,19 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, table, utf8
+from .common import WordHashes, map_arrow, mix64, table, utf8
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
-MAX_ITEMS = 20_000
-PIECE = 1 << 13
-GROWTH = 1.2
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = v = xxhash.xxh64_intdigest(word, 3)
-        return v
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 8
+MAX_ITEMS = 4_000
+PIECE = 1 << 11
+GROWTH = 1.35
 
 
 def shingle_hashes(w: np.ndarray, size: int) -> np.ndarray:
@@ -81,23 +71,35 @@ def similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class Index:
-    """Items by size class. entries: for each class the fingerprints, items and offsets; near: its block tables."""
+    """Items by size class. entries: for each class the fingerprints, items and offsets; near: its block tables, made where they are first used."""
 
     ids: list = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     shingles: list[Counter] = field(default_factory=list)
     entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    near: dict[int, np.ndarray] = field(default_factory=dict)
+    near: dict[int, list[np.ndarray]] = field(default_factory=dict)
     radius: int = RADIUS
 
 
-def flips(radius: int) -> np.ndarray:
-    """16-bit values of up to `radius` ones."""
-    return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(16), k)], np.uint16)
+def nearest(values: np.ndarray, bits: int) -> np.ndarray:
+    """For each value of so many bits the distance to the nearest of the given ones."""
+    out = np.full(1 << bits, bits, np.uint8)
+    out[values] = 0
+    for bit in range(bits):  # one bit after another: a distance is at most the neighbour's and one
+        pair = out.reshape(-1, 2, 1 << bit)
+        pair[:] = np.minimum(pair, pair[:, ::-1] + np.uint8(1))
+    return out
+
+
+def blocks_of(prints: np.ndarray, entries: int) -> list[np.ndarray]:
+    """The fingerprints' blocks, as many as suit a class of so many entries."""
+    if entries <= 256:
+        return list(prints.view(np.uint16).reshape(-1, 4).T)
+    return [(prints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in ((0, 21), (21, 21), (42, 22))]
 
 
 def size_class(n: int) -> int:
-    """The greatest member of 5, 6, 7, 8, 10, 12, ... that is at most n; less than five words are a class each."""
+    """The greatest member of 5, 6, 8, 10, 13, 17, ... that is at most n; less than five words are a class each."""
     at = SHINGLE
     while n >= (then := max(at + 1, int(at * GROWTH))):
         at = then
@@ -117,22 +119,22 @@ def build(items: list[tuple[object, bytes]], radius: int = RADIUS) -> Index:
         index.ids.append(key)
         index.sizes.append(len(w))
         index.shingles.append(Counter(shingle_hashes(w, SHINGLE).tolist()))
-    flip = flips(radius // 4)
     for size, rows in found.items():
         prints = np.array([r[0] for r in rows], np.uint64)
         index.entries[size] = prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        near = np.zeros((4, 1 << 16), bool)
-        for k in range(4):
-            near[k, (((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.uint16)[:, None] ^ flip[None, :]).ravel()] = True
-        index.near[size] = near
     return index
 
 
 def hits(prints: np.ndarray, size: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Windows and entries within the radius."""
-    near, (known, _, _) = index.near[size], index.entries[size]
-    block = prints.view(np.uint16).reshape(-1, 4)  # little endian: block k holds bits 16 k and up
-    maybe = np.flatnonzero(near[0, block[:, 0]] | near[1, block[:, 1]] | near[2, block[:, 2]] | near[3, block[:, 3]])
+    known, _, _ = index.entries[size]
+    if size not in index.near:
+        widths = (16, 16, 16, 16) if len(known) <= 256 else (21, 21, 22)
+        index.near[size] = [nearest(v, n) for v, n in zip(blocks_of(known, len(known)), widths, strict=True)]
+    bound = np.zeros(len(prints), np.uint8)
+    for near, values in zip(index.near[size], blocks_of(prints, len(known)), strict=True):
+        bound += near[values]
+    maybe = np.flatnonzero(bound <= index.radius)
     at, of = [], []
     for k in range(0, len(maybe), max(1, (1 << 20) // max(1, len(known)))):
         part = maybe[k : k + max(1, (1 << 20) // max(1, len(known)))]
