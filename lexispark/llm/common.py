@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,14 +36,27 @@ def in_fold(doc_id: Column | str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == 0
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir, where it outlives executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexispark-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in spark.checkpoint.dir, where it outlives executors."""
+    shared_folder(df.sparkSession)
     kept = df.checkpoint()
     gc.collect()
-    sc._jvm.System.gc()  # lets the context cleaner drop the shuffles that the step has left behind
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffles that the step has left behind
     return kept
 
 

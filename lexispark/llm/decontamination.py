@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,23 +219,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     return out
 
 
+def leaky(sent: Broadcast):
+    """A column function: does the text hold an item of the index?"""
+
+    @F.pandas_udf("boolean")
+    def holds(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for s in bodies:
+            out = np.zeros(len(s), bool)
+            for k in range(0, len(s), 256):
+                for d, _, _, _ in search(list(s[k : k + 256]), sent.value, hashes):
+                    out[k + d] = True
+            yield pd.Series(out)
+
+    return holds(utf8("text"))
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """The rows of docs that hold no item, all columns kept."""
     kept = docs
     for items in item_blocks(benchmark, max_items):
         sent = docs.sparkSession.sparkContext.broadcast(build(items))
-
-        @F.pandas_udf("boolean")
-        def leaky(bodies: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            hashes = WordHashes()
-            for s in bodies:
-                out = np.zeros(len(s), bool)
-                for k in range(0, len(s), 256):
-                    for d, _, _, _ in search(list(s[k : k + 256]), sent.value, hashes):
-                        out[k + d] = True
-                yield pd.Series(out)
-
-        kept = kept.withColumn("__leaky", leaky(utf8("text"))).where(~F.col("__leaky")).drop("__leaky")
+        kept = kept.withColumn("__leaky", leaky(sent)).where(~F.col("__leaky")).drop("__leaky")
     return kept
 
 

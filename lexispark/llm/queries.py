@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shared, table, utf8
@@ -135,11 +135,15 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs, all columns kept, one of each group: that of the smallest doc_id, rows that tie by a hash."""
+    """The rows of docs, all columns kept, one of each group: that of the smallest doc_id, rows that tie by a hash.
+
+    Rows are chosen by two hashes of all their columns, so the texts are shuffled once; rows that repeat entirely leave one.
+    """
     heads = groups(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head"), F.col("root").alias("__root")).distinct()
-    tie = F.xxhash64(*[F.col(c) for c in docs.columns])
-    order = Window.partitionBy("__root").orderBy("__tie")
-    return docs.withColumn("__tie", tie).join(heads, F.col("doc_id").eqNullSafe(F.col("__head"))).withColumn("__at", F.row_number().over(order)).where("__at = 1").select(*docs.columns)
+    keyed = docs.withColumn("__k1", F.xxhash64(*docs.columns)).withColumn("__k2", F.hash(*docs.columns))
+    rivals = keyed.select("doc_id", "__k1", "__k2").join(heads, F.col("doc_id").eqNullSafe(F.col("__head")))
+    chosen = shared(rivals.groupBy("__root").agg(F.min(F.struct("__k1", "__k2")).alias("__row")).select("__row.*"))
+    return keyed.join(chosen, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
