@@ -80,9 +80,9 @@ class Segmenter:
 
     def cut(self, s: str | None, smart: bool = True) -> list[str]:
         out: list[str] = []
-        for run in re.findall(r"[一-龥]+|[^\W_]+", s or ""):
+        for run in re.findall(r"[一-龥]+|(?:(?![一-龥])[^\W_])+", s or ""):
             if not "一" <= run[0] <= "龥":
-                out += re.findall(r"[一-龥]|[^一-龥]+", run)
+                out.append(run)
                 continue
             i = 0
             while i < len(run):
