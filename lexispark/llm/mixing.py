@@ -64,7 +64,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
     """
     sized = shared(docs.select("doc_id", "source", n_words("text").alias("size")))
     buckets = max(1, math.isqrt(sized.count()))
-    drawn = sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
+    # buckets are stretches of the hash, so their order is the hash's
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    drawn = sized.withColumn("draw", draw).withColumn("bucket", F.shiftright(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * buckets, 32))
     cells = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = shared(
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
         .join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
         .select(F.col("source").alias("cell_source"), F.col("bucket").alias("cell_bucket"), "source_size", "target", "repeats", (F.col("budget") - F.col("before")).alias("left"))
     )
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(in_bucket), F.lit(0))))
     return (
         drawn.join(left, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("bucket") == F.col("cell_bucket")))
@@ -88,4 +90,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "repeats")
+
+
+SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM sums),
+leveled AS (SELECT *, most / weight AS ratio, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+plan AS (SELECT source, source_size, least(most, weight * coalesce((SELECT min_by(level, ratio) FROM leveled WHERE ratio > level), 'infinity'::DOUBLE)) AS target FROM leveled),
+budgets AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM plan),
+drawn AS (SELECT sized.*, source_size, target, repeats, round(target - repeats * source_size)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), size)), doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized JOIN budgets ON sized.source IS NOT DISTINCT FROM budgets.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (repeats * size + greatest(0, least(size, budget - before)))::BIGINT AS taken, source, repeats FROM drawn
+"""

@@ -78,3 +78,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d),
+windows AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS k FROM places),
+often AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT r, i FROM windows JOIN often USING (k)),
+words AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+marked AS (SELECT words.r, w, p, coalesce(max(hits.i) OVER (PARTITION BY words.r ORDER BY p) >= p - 34, false) AS gone FROM words LEFT JOIN hits ON words.r = hits.r AND words.p = hits.i),
+done AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN done USING (r)
+"""

@@ -94,7 +94,7 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int
     """The strings' order and, for each, the longest common prefix with the one before it (-1 for the first)."""
     order: list[int] = []
     lcp: list[int] = []
-    stack = [(list(range(len(strings))), 0, -1)]
+    stack = [(list(range(len(strings))), 0, -1)] if strings else []
     while stack:
         part, d, lead = stack.pop()
         if len(part) == 1:
