@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared, utf8
 
-#: Contents of one anchor that one task resolves, at most; beyond it windows are counted by Spark.
-HOT = 512
+#: Contents of one anchor that one task resolves, at most (some 10 MB); beyond it windows are counted by Spark.
+HOT = 20_000
 #: Windows that are worked on at once.
 SEGMENT = 1 << 18
 LOW = np.uint64((1 << 20) - 1)
