@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared, utf8
+from .common import mix64, shared, utf8, written
 
 #: Contents of one anchor that one task resolves, at most (some 10 MB); beyond it windows are counted by Spark.
 HOT = 20_000
@@ -114,7 +114,8 @@ class Repeats:
         counted = docs.select("doc_id", "th", "body").mapInArrow(anchors, "anchor long, content long").groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"))
         dup = shared(counted.where("times > 1").select(F.col("anchor").alias("of"), (F.col("lo") != F.col("hi")).alias("mixed")))
         found = docs.select("doc_id", "th", "body").mapInArrow(find, f"{key}, start long, n int, off int, anchor long, content long")
-        repeated = shared(found.join(dup, F.col("anchor") == F.col("of")).drop("of"))
+        # the two larger intermediate tables are Parquet, which takes a third of a checkpoint's room
+        repeated = written(found.join(dup, F.col("anchor") == F.col("of")).drop("of"), "repeated")
         flags = self.flags(docs, repeated.where("mixed"), key)
         same = repeated.where("not mixed").select("doc_id", "th", "start", F.array(F.lit(0), F.col("n") - 1).alias("wins"))
         part = (
@@ -142,10 +143,9 @@ class Repeats:
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "content", "times", "n", "off", "lead", "tail"])
 
-        # of rows that repeat entirely one is enough
         rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("th").eqNullSafe(F.col("w_th"))).select("body", "wanted")
         schema = "anchor long, content long, times long, n int, off int, lead binary, tail binary"
-        fetched = shared(rows.mapInArrow(fetch, schema).dropDuplicates(["anchor", "content"]))
+        fetched = written(rows.mapInArrow(fetch, schema), "contents")
         sizes = shared(one.groupBy("anchor").agg(F.count("*").alias("contents")).where(F.col("contents") > self.hot).select(F.col("anchor").alias("h_anchor")))
         cool = fetched.join(sizes, F.col("anchor") == F.col("h_anchor"), "left_anti")
         hot = fetched.join(sizes, F.col("anchor") == F.col("h_anchor"), "left_semi")
@@ -160,7 +160,9 @@ class Repeats:
                 return pa.RecordBatch.from_arrays([pa.array([cols[0][i] for i in some], pa.int64()), pa.array([cols[1][i] for i in some], pa.int64()), pa.array([wins[i] for i in some], pa.list_(pa.int32()))], names=["f_anchor", "f_content", "wins"])
 
             for b in batches:  # sorted by anchor: all but the last anchor's rows are complete
-                held += zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "times", "n", "off", "lead", "tail")), strict=True)
+                for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "times", "n", "off", "lead", "tail")), strict=True):
+                    if not held or row[:2] != held[-1][:2]:  # documents that repeat entirely fetch a content more than once
+                        held.append(row)
                 if len(held) > 8000:
                     cut = next((i for i in range(len(held) - 1, 0, -1) if held[i - 1][0] != held[-1][0]), 0)
                     if cut:
@@ -169,7 +171,7 @@ class Repeats:
             if held:
                 yield done(held)
 
-        settled = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(settle, "f_anchor long, f_content long, wins array<int>")
+        settled = cool.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(settle, "f_anchor long, f_content long, wins array<int>")
         span, unit = window - seed, self.unit
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ class Repeats:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "content", "times", "j", "h"])
 
-        each = hot.mapInArrow(windows, "anchor long, content long, times long, j int, h binary")
+        each = hot.dropDuplicates(["anchor", "content"]).mapInArrow(windows, "anchor long, content long, times long, j int, h binary")
         often = each.groupBy("anchor", "h").agg(F.sum("times").alias("all")).where("all > 1").select(F.col("anchor").alias("o_anchor"), F.col("h").alias("o_h"))
         counted = each.join(often, (F.col("anchor") == F.col("o_anchor")) & (F.col("h") == F.col("o_h"))).groupBy(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content")).agg(F.flatten(F.collect_list(F.array("j", "j"))).alias("wins"))
         return settled.union(counted)
