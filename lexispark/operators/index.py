@@ -12,11 +12,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import ANALYZERS
 from ..schema import SPARK_TYPES, FieldDef, FieldType, IndexDef
 
 
+POSTINGS = "shard int, doc long, field string, term string, tf int, dl int, positions array<int>"
+STATS = "shard int, field string, n long, total long"
+
+
+def docs_schema(index: IndexDef) -> T.StructType:
+    schema = T.StructType().add("shard", T.IntegerType()).add("doc", T.LongType())
+    for f in index.fields:
+        if f.name != "doc":
+            schema.add(f.name, SPARK_TYPES[f.type])
+    return schema
+
+
 def shard_of(c: Column, shards: int) -> Column:
     """pmod, so that negative ids have a shard too."""
     return F.pmod(c.cast("long"), F.lit(shards)).cast("int")
@@ -57,6 +70,11 @@ def postings(docs: DataFrame, index: IndexDef, fields: list[str] | None = None)
     return rows.groupBy("shard", "doc", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def field_stats(postings_: DataFrame) -> DataFrame:
+    """(shard, field, n, total): the documents that have a field and its tokens in all; as many rows as shards times fields."""
+    return postings_.groupBy("shard", "field", "doc").agg(F.first("dl").alias("dl")).groupBy("shard", "field").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+
+
 def lengths(postings_: DataFrame, by_shard: bool = False) -> DataFrame:
     """Of each field (and shard): n, the documents that have it, and avgdl."""
     by = [*(["shard"] if by_shard else []), "field"]
@@ -70,17 +88,26 @@ def vocabulary(postings_: DataFrame, by_shard: bool = False) -> DataFrame:
 
 @dataclass
 class Index:
-    """An index at hand: its definition and tables."""
+    """An index at hand: its definition and tables.
+
+    stats, where it is known, spares each query the pass over all postings that lengths take.
+    """
 
     definition: IndexDef
     docs: DataFrame
     postings: DataFrame
+    stats: DataFrame | None = None
 
     def cached(self) -> Index:
-        """Keeps postings for repeated queries; they go to disk where memory is short."""
+        """Keeps postings for repeated queries, on disk where memory is short, and the statistics, a row for each shard and field."""
         self.postings.persist()
+        known = self.field_stats()
+        self.stats = self.docs.sparkSession.createDataFrame(known.collect(), known.schema)
         return self
 
+    def field_stats(self) -> DataFrame:
+        return self.stats if self.stats is not None else field_stats(self.postings)
+
 
 def build(source: DataFrame, definition: IndexDef, fields: list[str] | None = None) -> Index:
     docs = documents(source, definition)
@@ -94,8 +121,8 @@ class Store:
     Hadoop's file system, so any store that Spark reaches will do.
     """
 
-    def __init__(self, spark: SparkSession, root: str, definition: IndexDef):
-        self.spark, self.root, self.definition = spark, root.rstrip("/"), definition
+    def __init__(self, spark: SparkSession, root: str, definition: IndexDef, files_per_shard: int = 1):
+        self.spark, self.root, self.definition, self.files = spark, root.rstrip("/"), definition, files_per_shard
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -150,63 +177,66 @@ class Store:
     def unlock(self) -> None:
         self._fs.delete(self._path(f"{self.root}/build.lock"), False)
 
+    def write(self, generation: int, docs: DataFrame, terms: DataFrame | None = None) -> None:
+        """Writes a generation's tables; postings are analyzed from the written documents unless given.
+
+        A shard is files_per_shard files, dealt by document, so that large shards are not written by one task.
+        """
+        at = self.folder(generation)
+        dealt = lambda df: df.repartition(self.definition.shards * self.files, "shard", F.pmod(F.xxhash64("doc"), F.lit(self.files)))
+        dealt(docs).write.mode("overwrite").partitionBy("shard").parquet(f"{at}/docs")
+        terms = postings(self.spark.read.schema(docs_schema(self.definition)).parquet(f"{at}/docs"), self.definition) if terms is None else terms
+        dealt(terms).sortWithinPartitions("shard", "field", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{at}/postings")
+        field_stats(self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")).coalesce(1).write.mode("overwrite").parquet(f"{at}/stats")
+
     def create(self, source: DataFrame) -> dict:
         """A full build into a fresh generation, then the swap; fails fast while another build runs."""
         if self.lock() is None:
             return {"code": "101", "msg": "a build is running"}
         try:
             generation = (self.pointer() or 0) + 1
-            docs = documents(source, self.definition)
-            at = self.folder(generation)
-            by_shard = lambda df: df.repartition(self.definition.shards, "shard")
-            by_shard(docs).write.mode("overwrite").partitionBy("shard").parquet(f"{at}/docs")
-            kept = self.spark.read.parquet(f"{at}/docs")
-            by_shard(postings(kept, self.definition)).sortWithinPartitions("shard", "field", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{at}/postings")
+            self.write(generation, documents(source, self.definition))
             self.swap(generation)
-            return {"code": "200", "generation": generation, "rows": kept.count()}
+            return {"code": "200", "generation": generation, "rows": self.load().docs.count()}
         finally:
             self.unlock()
 
+    def replace(self, docs: DataFrame, terms: DataFrame) -> None:
+        """A next generation with these tables goes live, and the one before is deleted."""
+        old = self.pointer()
+        self.write(old + 1, docs, terms)
+        self.swap(old + 1)
+        self._fs.delete(self._path(self.folder(old)), True)
+
     def load(self) -> Index:
         generation = self.pointer()
         if generation is None:
             raise FileNotFoundError(f"{self.root}: no generation is live")
-        at = self.folder(generation)
-        return Index(self.definition, self.spark.read.parquet(f"{at}/docs"), self.spark.read.parquet(f"{at}/postings"))
+        at, schemas = self.folder(generation), {"docs": docs_schema(self.definition), "postings": POSTINGS, "stats": STATS}
+        return Index(self.definition, *(self.spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in schemas.items()))
 
     def upsert(self, rows: DataFrame) -> None:
-        """Replaces documents by id: only the shards that they fall into are rewritten, in a new generation's folders, and swapped in."""
+        """Replaces documents by id. Only the new ones are analyzed and only their shards' rows compared; the other shards' are copied."""
         live = self.load()
-        new = documents(rows, self.definition)
+        new = latest(documents(rows, self.definition))
         touched = [r["shard"] for r in new.select("shard").distinct().collect()]  # at most as many as there are shards
         if not touched:
             return
-        old, at = self.folder(self.pointer()), self.folder(self.pointer() + 1)
-        docs = merged(live.docs.where(F.col("shard").isin(touched)), new)
-        gone = new.select("doc").distinct()
-        terms = live.postings.where(F.col("shard").isin(touched)).join(gone, "doc", "left_anti").unionByName(postings(latest(new), self.definition))
-        for name, changed, kept in (("docs", docs, live.docs), ("postings", terms, live.postings)):
-            whole = kept.where(~F.col("shard").isin(touched)).unionByName(changed)
-            whole.repartition(self.definition.shards, "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{at}/{name}")
-        self.swap(self.pointer() + 1)
-        self._fs.delete(self._path(old), True)
+        inside = F.col("shard").isin(touched)
+        docs = live.docs.where(~inside).unionByName(merged(live.docs.where(inside), new))
+        kept = live.postings.where(inside).join(new.select("doc"), "doc", "left_anti")
+        self.replace(docs, live.postings.where(~inside).unionByName(kept).unionByName(postings(new, self.definition)))
 
     def compact(self) -> int:
-        """One file for each shard, in a new generation; returns the rows kept."""
-        live, at = self.load(), self.folder(self.pointer() + 1)
-        old = self.folder(self.pointer())
-        for name, df in (("docs", live.docs), ("postings", live.postings)):
-            df.repartition(self.definition.shards, "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{at}/{name}")
-        self.swap(self.pointer() + 1)
-        self._fs.delete(self._path(old), True)
+        """files_per_shard files for each shard, in a new generation; returns the rows kept."""
+        live = self.load()
+        self.replace(live.docs, live.postings)
         return self.load().docs.count()
 
     def delete_all(self) -> None:
-        """Empties the live generation: an empty one takes its place."""
-        live, generation = self.load(), self.pointer() + 1
-        for name, df in (("docs", live.docs), ("postings", live.postings)):
-            df.limit(0).write.mode("overwrite").parquet(f"{self.folder(generation)}/{name}")
-        self.swap(generation)
+        """An empty generation takes the live one's place."""
+        live = self.load()
+        self.replace(live.docs.limit(0), live.postings.limit(0))
 
     def info(self) -> DataFrame:
         return segment_info(self.load().docs)

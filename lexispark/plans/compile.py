@@ -166,7 +166,7 @@ def search(index: Index, query: ast.Query, stats: str = "global", explain: bool
     pairs = reduce(Column.__or__, [(F.col("field") == f) & (F.col("term") == t) for f, t in plan.terms]) if plan.terms else F.lit(False)
     # bounded by the query's terms (and shards), so they broadcast
     df = p.where(pairs).groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
-    of = p.where(F.col("field").isin(fields)).groupBy(*by, "field", "doc").agg(F.first("dl").alias("dl")).groupBy(*by, "field").agg(F.count("*").alias("n"), (F.sum("dl").cast("double") / F.count("*").cast("double")).alias("avgdl"))
+    of = index.field_stats().where(F.col("field").isin(fields)).groupBy(*by, "field").agg(F.sum("n").alias("n"), (F.sum("total").cast("double") / F.sum("n").cast("double")).alias("avgdl"))
     scored = hits.join(F.broadcast(df), [*by, "field", "term"], "left").join(F.broadcast(of), [*by, "field"], "left") if plan.terms else hits.withColumns({"df": F.lit(1), "n": F.lit(1), "avgdl": d(1)})
     scored = scored.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("part", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")))
     aggs = []
