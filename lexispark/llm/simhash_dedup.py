@@ -42,14 +42,15 @@ def simhash(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(d) // 8).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, fp), the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, fp), the fingerprint as a signed long; the carried columns stand between them."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([simhash(t, shingle) for t in b.column("body").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carried)], pa.array(fp)], names=["doc_id", *carried, "fp"])
 
-    return map_arrow(docs.select("doc_id", utf8("text").alias("body")), f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carried))
+    return map_arrow(docs.select("doc_id", *carried, utf8("text").alias("body")), f, f"{schema}fp long")
 
 
 def counts(fp: Column) -> Column:
@@ -122,12 +123,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (fp, least) to (of, least, root)."""
+    roots = shared(components(links(fps.select("fp"), radius)))
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select(F.col("fp").alias("of"), "least", "root")
+
+
 def groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp, root, component_id)."""
     marked = shared(fingerprints(docs, shingle))
     fps = shared(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = shared(components(links(fps.select("fp"), radius)))
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select(F.col("fp").alias("of"), "least", "root")
+    named = grouped(fps, radius)
     # only fingerprints with links need a shuffle by root; the others name themselves
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "group")
     ids = named.join(least, F.col("root") == F.col("group")).select("of", "root", "component_id")
@@ -135,14 +141,18 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs, all columns kept, one of each group: that of the smallest doc_id, rows that tie by a hash.
+    """The rows of docs, all columns kept, one of each group: that of the smallest doc_id, rows that tie by a hash; a null id comes last.
 
     Rows are chosen by two hashes of all their columns, so the texts are shuffled once; rows that repeat entirely leave one.
+    The hashes go with the fingerprints, as a doc_id may stand for rows of several groups.
     """
-    heads = groups(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head"), F.col("root").alias("__root")).distinct()
-    keyed = docs.withColumn("__k1", F.xxhash64(*docs.columns)).withColumn("__k2", F.hash(*docs.columns))
-    rivals = keyed.select("doc_id", "__k1", "__k2").join(heads, F.col("doc_id").eqNullSafe(F.col("__head")))
-    chosen = shared(rivals.groupBy("__root").agg(F.min(F.struct("__k1", "__k2")).alias("__row")).select("__row.*"))
+    # Spark's hashes pass over nulls, so which columns are null is hashed too
+    row = [*docs.columns, F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])]
+    keyed = docs.withColumns({"__k1": F.xxhash64(*row), "__k2": F.hash(*row)})
+    marked = fingerprints(keyed, shingle, ("__k1", "__k2"))
+    rank = F.struct(F.col("doc_id").isNull().alias("__last"), "doc_id", "__k1", "__k2")
+    fps = shared(marked.groupBy("fp").agg(F.min(rank).alias("least")))
+    chosen = shared(grouped(fps, radius).groupBy("root").agg(F.min("least").alias("__row")).select("__row.__k1", "__row.__k2"))
     return keyed.join(chosen, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 

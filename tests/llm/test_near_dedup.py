@@ -87,6 +87,14 @@ def test_keep_one(spark, odd, none):
     assert sd.groups(none).count() == 0
 
 
+def test_keep_one_by_rows_not_ids(spark):
+    """Rows of one id, null or not, and of different texts are groups of their own."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(8)]
+    rows = [(None, t, "s") for t in texts[:4]] + [(None, texts[0], "s"), (7, texts[4], "s"), (7, texts[5], "s"), (8, texts[5], "s"), (7, texts[6], "s"), (None, texts[6], "s"), (9, texts[7], None), (9, None, texts[7])]
+    kept = sd.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["text"] or "", r["doc_id"] or 0) for r in kept) == sorted([(t, 0) for t in texts[:4]] + [(t, 7) for t in texts[4:7]] + [(texts[7], 9), ("", 9)])
+
+
 def test_odd(spark, odd):
     got = sd.groups(odd).collect()
     assert len(got) == odd.count()
