@@ -10,6 +10,9 @@ holds, for each of its values, the distance to the nearest item's block; these d
 fingerprints within the radius pass and few others do; those get the exact distance. Each hit is laid over the whole item, one word either way, and
 counts if the weighted Jaccard similarity of the shingles (each counts as often as it occurs) is at least 0.8.
 
+The radius does not reach every passage of that similarity, so windows of one shingle are looked up at distance zero as well: a span
+of similarity 0.8 holds at least 0.8 of the item's shingles. Where a text does, all spans of the item's length that hold as many are compared.
+
 The items are query rows: they are sent to the executors in blocks of MAX_ITEMS at most, one pass over the
 documents for each block, so what is broadcast stays bounded. Texts are worked through as one stream in pieces of bounded
 length that overlap by a window.
@@ -37,6 +40,7 @@ from .common import WordHashes, map_arrow, mix64, table, utf8
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 8
 MAX_ITEMS = 4_000
 PIECE = 1 << 11
+SIEVE = 1 << 20
 GROWTH = 1.35
 
 
@@ -72,13 +76,20 @@ def similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class Index:
-    """Items by size class. entries: for each class the fingerprints, items and offsets; near: its block tables, made where they are first used."""
+    """Items by size class. entries: for each class the fingerprints, items and offsets; near: its block tables, made where they are first used.
+
+    seeds: the items' distinct shingles in order; those at k are in the items holders[starts[k] : starts[k + 1]]. sieve: which low bits seeds have.
+    """
 
     ids: list = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     shingles: list[Counter] = field(default_factory=list)
     entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     near: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    seeds: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    holders: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    sieve: np.ndarray | None = None
     radius: int = RADIUS
 
 
@@ -123,6 +134,15 @@ def build(items: list[tuple[object, bytes]], radius: int = RADIUS) -> Index:
     for size, rows in found.items():
         prints = np.array([r[0] for r in rows], np.uint64)
         index.entries[size] = prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    long_ = [i for i, n in enumerate(index.sizes) if n >= SHINGLE]
+    if long_:
+        flat = np.concatenate([np.fromiter(index.shingles[i], np.uint64) for i in long_])
+        of = np.repeat(long_, [len(index.shingles[i]) for i in long_])
+        order = np.argsort(flat, kind="stable")
+        index.seeds, starts = np.unique(flat[order], return_index=True)
+        index.holders, index.starts = of[order], np.append(starts, len(flat))
+        index.sieve = np.zeros(SIEVE, bool)
+        index.sieve[index.seeds & np.uint64(SIEVE - 1)] = True
     return index
 
 
@@ -145,6 +165,27 @@ def hits(prints: np.ndarray, size: int, index: Index) -> tuple[np.ndarray, np.nd
     return (np.concatenate(at), np.concatenate(of)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def seeded(h: np.ndarray, first: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, places in h of the item's shingles) where a text holds enough of them for the threshold."""
+    at = np.flatnonzero(index.sieve[h & np.uint64(SIEVE - 1)])
+    seed = np.minimum(np.searchsorted(index.seeds, h[at]), len(index.seeds) - 1)
+    doc = np.searchsorted(first, at, "right") - 1
+    real = (index.seeds[seed] == h[at]) & (at + SHINGLE <= first[doc + 1])
+    at, seed, doc = at[real], seed[real], doc[real]
+    least = np.array([threshold * max(1, n - SHINGLE + 1) for n in index.sizes])
+    ends = np.flatnonzero(np.diff(doc, append=-1)) + 1
+    for a, b in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
+        kinds, times = np.unique(seed[a:b], return_counts=True)
+        held = np.zeros(len(index.ids), np.int64)
+        for k, n in zip(kinds.tolist(), times.tolist(), strict=True):
+            held[index.holders[index.starts[k] : index.starts[k + 1]]] += n
+        enough = np.flatnonzero((held > 0) & (held >= least - 1e-9))
+        if len(enough):
+            items_of = {k: set(index.holders[index.starts[k] : index.starts[k + 1]].tolist()) for k in kinds.tolist()}
+            for item in enough.tolist():
+                yield int(doc[a]), item, at[a:b][[item in items_of[k] for k in seed[a:b].tolist()]]
+
+
 def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
     """(text, item, first word, similarity) of the best place of each item in each text that reaches the threshold."""
     if not index.ids:
@@ -175,9 +216,27 @@ def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: floa
     for size in index.entries:
         if size < SHINGLE and len(w) >= size:  # one shingle is the whole window
             verify(window_prints(running_bits(shingle_hashes(w, size)), 1), size, 0)
+    def lay(d: int, item: int, places: np.ndarray, h: np.ndarray) -> None:
+        """The best of all spans that hold enough of the item's shingles, which are at `places`."""
+        lo, hi, n, m = int(first[d]), int(first[d + 1]), index.sizes[item], index.sizes[item] - SHINGLE + 1
+        q = np.arange(max(lo, int(places[0]) - m + 1), min(int(places[-1]), hi - n) + 1)
+        has = np.searchsorted(places, q + m) - np.searchsorted(places, q)
+        most = has / (2 * m - has)  # no span is more similar than this
+        for k in np.lexsort((q, -most)).tolist():
+            top, at = best.get((d, item), (threshold, hi))
+            if most[k] < top:
+                break
+            if most[k] == top and q[k] - lo >= at:
+                continue
+            s = similarity(Counter(h[q[k] : q[k] + m].tolist()), index.shingles[item])
+            if s >= threshold and (-s, q[k] - lo) < (-top, at):
+                best[d, item] = (s, int(q[k]) - lo)
+
     sizes = [s for s in index.entries if s >= SHINGLE]
     if sizes and len(w) >= SHINGLE:
         h = shingle_hashes(w, SHINGLE)
+        for d, item, places in seeded(h, first, index, threshold):
+            lay(d, item, places, h)
         for a in range(0, len(h), PIECE):
             sums = running_bits(h[a : a + PIECE + longest])
             for size in sizes:

@@ -79,6 +79,31 @@ def test_leaks_of_short_and_edited_items(spark):
     assert got == [(1, 10, 1), (2, 10, 0), (4, 11, 1)]  # of places that tie the first
 
 
+def slow_best(doc, item, clamp):
+    """The best of all spans of the item's length and the first word of it; with clamp, spans may pass the text's ends."""
+    grams = lambda w: dc.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    n, want = len(item), grams(item)
+    at = range(1 - n, len(doc)) if clamp else range(len(doc) - n + 1)
+    return max(((dc.similarity(grams(doc[max(q, 0) : q + n]), want), -q) for q in at), default=(0, 0))
+
+
+def test_leaks_with_edits_anywhere():
+    rng, reached = np.random.default_rng(3), 0
+    for n, edits in ((25, 1), (50, 1), (50, 2), (100, 2), (100, 3), (200, 4)):
+        item = [f"i{k}" for k in rng.integers(0, 400, n)]
+        texts = []
+        for first in range(0, n, 3):
+            w = list(item)
+            for k in sorted({first, *rng.integers(0, n, edits - 1).tolist()}, reverse=True):
+                w[k : k + 1] = [["changed"], [], [w[k], "more"]][rng.choice(3, p=(0.8, 0.1, 0.1))]
+            texts.append([f"a{k}" for k in range(9)] + w + [f"b{k}" for k in range(9)])
+        got = {d: (s, at) for d, _, at, s in dc.search([" ".join(t).encode() for t in texts], dc.build([(1, " ".join(item).encode())]), dc.WordHashes())}
+        want = {d: (s, -q) for d, t in enumerate(texts) for s, q in [slow_best(t, item, False)] if s >= 0.8}
+        assert got == want
+        reached += len(want)
+    assert reached > 100
+
+
 def test_near_tables_bound_the_distance():
     v = np.array([3, 500, 65535], np.int64)
     t = dc.nearest(v, 16)
