@@ -12,6 +12,7 @@ counts if the weighted Jaccard similarity of the shingles (each counts as often
 
 The radius does not reach every passage of that similarity, so windows of one shingle are looked up at distance zero as well: a span
 of similarity 0.8 holds at least 0.8 of the item's shingles. Where a text does, all spans of the item's length that hold as many are compared.
+Spans are cut at the text's ends, so a text that is an item less some words at either end is compared as a whole.
 
 The items are query rows: they are sent to the executors in blocks of MAX_ITEMS at most, one pass over the
 documents for each block, so what is broadcast stays bounded. Texts are worked through as one stream in pieces of bounded
@@ -186,15 +187,15 @@ def seeded(h: np.ndarray, first: np.ndarray, index: Index, threshold: float) ->
                 yield int(doc[a]), item, at[a:b][[item in items_of[k] for k in seed[a:b].tolist()]]
 
 
-def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
-    """(text, item, first word, similarity) of the best place of each item in each text that reaches the threshold."""
+def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
+    """(text, item, first word, similarity, words) of the best place of each item in each text that reaches the threshold."""
     if not index.ids:
         return []
     split = [t.lower().split() for t in texts]
     first = np.concatenate([[0], np.cumsum([len(w) for w in split])])
     w = np.fromiter((hashes[x] for words in split for x in words), np.uint64, int(first[-1]))
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    tried: set[tuple[int, int]] = set()
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    tried: set[tuple[int, int, int]] = set()
     longest = max(index.entries)
 
     def verify(prints: np.ndarray, size: int, start: int) -> None:
@@ -205,13 +206,13 @@ def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: floa
         for p, j, d in zip((at + start).tolist(), of.tolist(), doc.tolist(), strict=True):
             item, lo, hi = int(items[j]), int(first[d]), int(first[d + 1])
             for q in (p - int(offs[j]), p - int(offs[j]) - 1, p - int(offs[j]) + 1):
-                end = q + index.sizes[item]
-                if p + size > hi or q < lo or end > hi or (q, item) in tried:
+                a, end = max(q, lo), min(q + index.sizes[item], hi)
+                if p + size > hi or (d, q, item) in tried:
                     continue
-                tried.add((q, item))
-                s = similarity(Counter(shingle_hashes(w[q:end], SHINGLE).tolist()), index.shingles[item])
-                if s >= threshold and ((d, item) not in best or (-s, q - lo) < (-best[d, item][0], best[d, item][1])):
-                    best[d, item] = (s, q - lo)
+                tried.add((d, q, item))
+                s = similarity(Counter(shingle_hashes(w[a:end], SHINGLE).tolist()), index.shingles[item])
+                if s >= threshold and ((d, item) not in best or (-s, a - lo) < (-best[d, item][0], best[d, item][1])):
+                    best[d, item] = (s, a - lo, end - a)
 
     for size in index.entries:
         if size < SHINGLE and len(w) >= size:  # one shingle is the whole window
@@ -219,18 +220,20 @@ def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: floa
     def lay(d: int, item: int, places: np.ndarray, h: np.ndarray) -> None:
         """The best of all spans that hold enough of the item's shingles, which are at `places`."""
         lo, hi, n, m = int(first[d]), int(first[d + 1]), index.sizes[item], index.sizes[item] - SHINGLE + 1
-        q = np.arange(max(lo, int(places[0]) - m + 1), min(int(places[-1]), hi - n) + 1)
-        has = np.searchsorted(places, q + m) - np.searchsorted(places, q)
-        most = has / (2 * m - has)  # no span is more similar than this
+        q = np.arange(int(places[0]) - m + 1, int(places[-1]) + 1)
+        a, end = np.maximum(q, lo), np.minimum(q + n, hi)
+        size = np.maximum(end - a - SHINGLE + 1, 1)
+        has = np.minimum(np.searchsorted(places, q + m) - np.searchsorted(places, q), size)
+        most = has / (m + size - has)  # no span is more similar than this
         for k in np.lexsort((q, -most)).tolist():
-            top, at = best.get((d, item), (threshold, hi))
+            top, at, _ = best.get((d, item), (threshold, hi, 0))
             if most[k] < top:
                 break
-            if most[k] == top and q[k] - lo >= at:
+            if most[k] == top and a[k] - lo >= at:
                 continue
-            s = similarity(Counter(h[q[k] : q[k] + m].tolist()), index.shingles[item])
-            if s >= threshold and (-s, q[k] - lo) < (-top, at):
-                best[d, item] = (s, int(q[k]) - lo)
+            s = similarity(Counter(h[a[k] : end[k] - SHINGLE + 1].tolist()), index.shingles[item])
+            if s >= threshold and (-s, a[k] - lo) < (-top, at):
+                best[d, item] = (s, int(a[k]) - lo, int(end[k] - a[k]))
 
     sizes = [s for s in index.entries if s >= SHINGLE]
     if sizes and len(w) >= SHINGLE:
@@ -243,7 +246,7 @@ def search(texts: list[bytes], index: Index, hashes: WordHashes, threshold: floa
                 m = size - SHINGLE + 1
                 if len(sums) > m:
                     verify(window_prints(sums, m)[:PIECE], size, a)
-    return [(d, i, at, s) for (d, i), (s, at) in sorted(best.items())]
+    return [(d, i, at, s, n) for (d, i), (s, at, n) in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame, max_items: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -268,9 +271,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
             index, found = sent.value, []
             texts = b.column("body").to_pylist()
             for k in range(0, len(texts), 256):
-                found += [(k + d, i, at, s) for d, i, at, s in search(texts[k : k + 256], index, hashes)]
+                found += [(k + d, i, at, s, n) for d, i, at, s, n in search(texts[k : k + 256], index, hashes)]
             ids = b.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
-            cols = [ids, pa.array([index.ids[x[1]] for x in found], None if found else pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([index.sizes[x[1]] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.float64())]
+            cols = [ids, pa.array([index.ids[x[1]] for x in found], None if found else pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.float64())]
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
         part = map_arrow(docs.select("doc_id", utf8("text").alias("body")), f, schema)
@@ -287,7 +290,7 @@ def leaky(sent: Broadcast):
         for s in bodies:
             out = np.zeros(len(s), bool)
             for k in range(0, len(s), 256):
-                for d, _, _, _ in search(list(s[k : k + 256]), sent.value, hashes):
+                for d, *_ in search(list(s[k : k + 256]), sent.value, hashes):
                     out[k + d] = True
             yield pd.Series(out)
 

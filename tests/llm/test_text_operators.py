@@ -97,13 +97,25 @@ def test_leaks_with_edits_anywhere():
             for k in sorted({first, *rng.integers(0, n, edits - 1).tolist()}, reverse=True):
                 w[k : k + 1] = [["changed"], [], [w[k], "more"]][rng.choice(3, p=(0.8, 0.1, 0.1))]
             texts.append([f"a{k}" for k in range(9)] + w + [f"b{k}" for k in range(9)])
-        got = {d: (s, at) for d, _, at, s in dc.search([" ".join(t).encode() for t in texts], dc.build([(1, " ".join(item).encode())]), dc.WordHashes())}
-        want = {d: (s, -q) for d, t in enumerate(texts) for s, q in [slow_best(t, item, False)] if s >= 0.8}
+        got = {d: (s, at) for d, _, at, s, *_ in dc.search([" ".join(t).encode() for t in texts], dc.build([(1, " ".join(item).encode())]), dc.WordHashes())}
+        want = {d: (s, max(0, -q)) for d, t in enumerate(texts) for s, q in [slow_best(t, item, True)] if s >= 0.8}
         assert got == want
         reached += len(want)
     assert reached > 100
 
 
+def test_leaks_that_are_shortened_items(spark):
+    for n in (10, 40, 75, 200):
+        item = [f"i{k}" for k in range(n)]
+        texts = [item[a : n - b] for a in range(n // 4) for b in (0, 1, 2, n // 9)] + [item[2:] + ["after"] * 9, ["before"] * 9 + item[:-2]]
+        got = {d: s for d, _, _, s, _ in dc.search([" ".join(t).encode() for t in texts], dc.build([(1, " ".join(item).encode())]), dc.WordHashes())}
+        assert got == {d: s for d, t in enumerate(texts) for s, _ in [slow_best(t, item, True)] if s >= 0.8}
+    docs = spark.createDataFrame([(1, " ".join(item[3:])), (2, " ".join(item[:-3])), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"]) for r in dc.leaks(docs, bench).collect()) == [(1, 0, 197), (2, 0, 197)]
+    assert [r["doc_id"] for r in dc.drop_leaks(docs, bench).collect()] == [3]
+
+
 def test_near_tables_bound_the_distance():
     v = np.array([3, 500, 65535], np.int64)
     t = dc.nearest(v, 16)
