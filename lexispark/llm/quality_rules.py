@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import WORD, table, utf8
 
-#: Documents that the field is trained on, at most, and lines of each.
+#: Distinct texts that the field is trained on, at most, and successive lines of each.
 SAMPLE, LINES = 800, 40
 MIN_CONTENT = 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -167,25 +167,37 @@ def content_share(text: bytes, w: np.ndarray, trans: np.ndarray) -> float:
     return float(size[viterbi(line_features(lines), w, trans) == 0].sum() / size.sum())
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The field, from the texts with the smallest hashes; one task trains it."""
+def stretch(text: bytes) -> np.ndarray:
+    """The features of at most LINES successive lines, from a place drawn by the text's hash; taken in the whole text, so its first and last lines are its own."""
+    x = line_features([line for line in text.split(b"\n") if line and not line.isspace()])
+    at = xxhash.xxh64_intdigest(text, 9) % max(1, len(x) - LINES + 1)
+    return x[at : at + LINES]
+
+
+def chosen(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(rank, body): of the distinct texts with a word, those with the smallest hashes."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.empty(0, np.int64)
+        for b in batches:
+            low = np.unique(np.concatenate([low, b.column("rank").to_numpy()]))[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array(low)], names=["rank"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # the least of each batch, with as many lines as training takes
-            order = sorted((xxhash.xxh64_intdigest(t, 9) >> 1, t) for t in set(b.column("body").to_pylist()) if t.split())[:sample]
-            heads = [b"\n".join([x for x in t.split(b"\n") if x.strip()][:LINES]) for _, t in order]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in order], pa.int64()), pa.array(heads, pa.binary())], names=["rank", "body"])
+    texts = docs.where(F.col("text").rlike(WORD)).select(utf8("text").alias("body")).select(F.xxhash64("body").alias("rank"), "body")
+    # hashes alone first, so that only the sample's texts are moved
+    bound = texts.select("rank").mapInArrow(least, "rank long").distinct().orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    return texts.where(F.lit(False) if bound is None else F.col("rank") <= bound).groupBy("rank").agg(F.min("body").alias("body"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """The field, from the distinct texts with the smallest hashes; one task trains it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted({t for b in batches for t in b.column("body").to_pylist()})
-        model = train([line_features(t.split(b"\n")) for t in texts])
+        model = train([stretch(t) for t in texts])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # a hash of the text itself thins the table out before Python sees it: about four samples' worth remain
-    rows = docs.count()
-    few = docs.select(utf8("text").alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(max(1, rows // (4 * sample)))) == 0)
-    chosen = few.mapInArrow(cut, "rank long, body binary").dropDuplicates(["rank"]).orderBy("rank", "body").limit(sample)
-    found = chosen.select("body").repartition(1).mapInArrow(run, "model binary").collect()
+    found = chosen(docs, sample).select("body").repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([])
 
 

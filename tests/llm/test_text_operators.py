@@ -27,6 +27,27 @@ def slow_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(inside)
 
 
+def test_sample_of_a_table_of_copies(spark):
+    """The sample is of distinct texts, however many copies, nulls and empty ones there are."""
+    texts = [f"text number {k} of the sample\n" * 3 + "### $$$ *** |||" for k in range(40)]
+    docs = spark.range(20_000).selectExpr("id AS doc_id").withColumn("text", qr.F.when(qr.F.col("doc_id") % 3 == 0, None).when(qr.F.col("doc_id") % 3 == 1, "the same text all over"))
+    docs = docs.fillna("", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["body"].decode() for r in qr.chosen(docs).collect()) == sorted([*texts, "the same text all over"])
+    assert qr.chosen(docs, 10).count() == 10
+    w, _ = qr.fit(docs)
+    assert np.abs(w).max() > 0.1
+
+
+def test_stretches_keep_the_texts_own_ends():
+    for n in (1, 40, 41, 500):
+        lines = [f"line {k} of a long text.".encode() for k in range(n)]
+        whole, got = qr.line_features(lines), [qr.stretch(b"\n".join([*lines[:-1], lines[-1] + b"!" * k])) for k in range(60)]
+        assert {len(x) for x in got} == {min(n, qr.LINES)}
+        ends = {(bool(x[0, -2]), bool(x[-1, -1])) for x in got}
+        assert ends == {(True, True)} if n <= 40 else len(ends) > 1 and (True, True) not in ends
+        assert whole[0, -2] and whole[-1, -1]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab é#|\n\t\x85　"), max_size=60))
 def test_rules_base(text):
