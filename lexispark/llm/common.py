@@ -60,6 +60,14 @@ def shared(df: DataFrame) -> DataFrame:
     return kept
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name for bookkeeping that df does not have yet, by Spark's reckoning, which ignores case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow by a function of one batch."""
 
