@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 
 from lexispark.llm import simhash_dedup as sd
@@ -57,16 +59,57 @@ def test_groups(spark):
     assert len({g for _, _, g in got}) < 30
 
 
-def test_links_are_all_found(spark):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def linked_sets(fps, pairs):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    sets = {}
+    for f in fps:
+        sets.setdefault(find(f), set()).add(f)
+    return sorted(map(sorted, sets.values()))
+
+
+@pytest.mark.parametrize("blocks", [6, 8, 9])
+def test_links_connect_what_all_links_do(spark, blocks):
     r = random.Random(5)
     fps = {r.getrandbits(64) for _ in range(30)}
     for f in list(fps):
         for _ in range(6):
             fps.add(f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 6))))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = [tuple(x) for x in sd.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 4, blocks).collect()]
+    want = [(signed(a), signed(b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4]
+    assert set(got) <= {tuple(sorted(p)) for p in want} and len(got) == len(set(got))
+    assert linked_sets([signed(f) for f in fps], got) == linked_sets([signed(f) for f in fps], want)
+
+
+def test_links_of_a_template_grow_with_its_fingerprints(spark):
+    """A thousand near copies have some 100,000 links within four bits; about as many leave the join as there are fingerprints, in each of few cells."""
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(1200)}
     got = [tuple(x) for x in sd.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()]
-    want = {tuple(sorted((signed(a), signed(b)))) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
-    assert set(got) == want and len(got) == len(want)
+    assert len(linked_sets([signed(f) for f in fps], got)) == 1 and len(got) < 20 * len(fps)
+
+
+def test_forest_against_all_pairs():
+    r = random.Random(9)
+    fps = np.array(sorted({sum(1 << b for b in r.sample(range(20), r.randint(0, 9))) << 3 for _ in range(400)}), np.uint64)
+    a, b = sd.forest(fps, 2)
+    x = fps.tolist()
+    want = [(p, q) for i, p in enumerate(x) for q in x[:i] if (p ^ q).bit_count() <= 2]
+    got = list(zip(fps[a].tolist(), fps[b].tolist(), strict=True))
+    assert all((p ^ q).bit_count() <= 2 for p, q in got) and len(got) < len(x)
+    assert linked_sets(x, got) == linked_sets(x, want)
 
 
 def test_components_of_a_long_chain(spark):
