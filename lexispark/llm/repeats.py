@@ -11,12 +11,15 @@ clears all its windows. The steps:
 3. contexts: for the other anchors each distinct content is fetched once, as what stands left and right of
    the seed, from one document that holds it.
 4. resolve: for each anchor the operator's own method tells which windows of a content occur in another content as well, or
-   whether the content itself occurs twice. Anchors of more than HOT contents take another exact way: their windows' hashes are counted by
-   Spark, with map-side aggregation, so a passage that very many documents share, each in its own
-   surroundings, never meets in one task.
-5. The windows found go back to all runs of that content, and by document to the texts.
-
-No step forms pairs of documents. Documents are told apart by id and text hash, null-safe, so rows that repeat entirely
+   whether the content itself occurs twice.
+5. split: an anchor of more than HOT contents is first split, by a shuffle, into groups that agree further on both sides of the seed. Its windows, which
+   reach o symbols to the left of the seed, are halved by o: all windows of the range [a, b) hold the a symbols on the left and span - b + 1 on the right that
+   are next to the seed, so only contents that agree on these can share one. What lies beyond the range's reach is cut off, and contents that are
+   now equal become one row. Groups that are still too large are halved again; a range of a single o leaves one row for a group, so this ends after log2(span)
+   steps. A passage that very many documents share, each in its own surroundings, never meets in one task, and each group goes through step 4.
+6. The windows found go back to all runs of that content, and by document to the texts.
+
+No step forms pairs of documents. Texts of any length are read whole, in segments that overlap by a window. Documents are told apart by id and text hash, null-safe, so rows that repeat entirely
 count as two places and get equal results.
 """
 
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shared, utf8, written
 
-#: Contents of one anchor that one task resolves, at most (some 10 MB); beyond it windows are counted by Spark.
-HOT = 20_000
+#: Contents of one group that one task resolves, at most (some 1 MB); larger groups are split.
+HOT = 2_000
+#: Tasks that the contents which became one row are dealt to, when its windows go back to them.
+PARTS = 16
 #: Windows that are worked on at once.
 SEGMENT = 1 << 18
 LOW = np.uint64((1 << 20) - 1)
@@ -75,6 +80,10 @@ def runs(sym: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+#: Contents: how often one stands there, windows, symbols left of the seed, what stands left and right of it, and the range of windows that the group is for.
+COLUMNS = ["anchor", "content", "times", "n", "off", "lead", "tail", "lo", "hi"]
+SCHEMA = "anchor long, content long, times long, n int, off int, lead binary, tail binary, lo int, hi int"
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]], list[list[int]]]
 
 
@@ -125,7 +134,7 @@ class Repeats:
 
     def flags(self, docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
         """(f_anchor, f_content, wins): of each content with windows that repeat, the first and last of each stretch of them."""
-        window, seed, symbols, resolve = self.window, self.seed, self.symbols, self.resolve
+        window, seed, symbols = self.window, self.seed, self.symbols
         one = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "start", "n", "off")).alias("at"))
         one = shared(one)
         wanted = one.select(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th"), F.struct("anchor", "content", "times", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.off").alias("off")).alias("w")).groupBy("w_id", "w_th").agg(F.collect_set("w").alias("wanted"))
@@ -146,9 +155,41 @@ class Repeats:
         rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("th").eqNullSafe(F.col("w_th"))).select("body", "wanted")
         schema = "anchor long, content long, times long, n int, off int, lead binary, tail binary"
         fetched = written(rows.mapInArrow(fetch, schema), "contents")
-        sizes = shared(one.groupBy("anchor").agg(F.count("*").alias("contents")).where(F.col("contents") > self.hot).select(F.col("anchor").alias("h_anchor")))
-        cool = fetched.join(sizes, F.col("anchor") == F.col("h_anchor"), "left_anti")
-        hot = fetched.join(sizes, F.col("anchor") == F.col("h_anchor"), "left_semi")
+        return self.resolved(fetched.withColumns({"lo": F.lit(0), "hi": F.lit(window - seed + 1)}))
+
+    def resolved(self, contents: DataFrame) -> DataFrame:
+        """flags of contents (anchor, content, times, n, off, lead, tail, lo, hi), large groups split first."""
+        span, unit = self.window - self.seed, self.unit
+        large = shared(contents.groupBy("anchor").agg(F.count("*").alias("contents")).where(F.col("contents") > self.hot).select(F.col("anchor").alias("h_anchor")))
+        if large.isEmpty():
+            return self.settled(contents)
+        settled = self.settled(contents.join(large, F.col("anchor") == F.col("h_anchor"), "left_anti"))
+
+        def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digest = lambda *x: xxhash.xxh3_64_intdigest(b"|".join(b"%d" % v if isinstance(v, int) else b"%d:%b" % (len(v), v) for v in x)) - (1 << 63)
+            for batch in batches:
+                out = []
+                for anchor, content, times, n, off, lead, tail, lo, hi in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+                    mid = (lo + hi) // 2
+                    for a, b in ((lo, mid), (mid, hi)):
+                        first, last = max(a, off - n + 1), min(b - 1, off)
+                        if first <= last:
+                            group = digest(anchor, a, b, lead[(off - a) * unit :], tail[: (span - b + 1) * unit])
+                            left, right = lead[(off - last) * unit :], tail[: (span - first) * unit]
+                            out.append((anchor, content, off - last, group, digest(left, right, last, first), times, last - first + 1, last, left, right, a, b))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), *TYPES], strict=True)], names=["p_anchor", "p_content", "shift", *COLUMNS])
+
+        halves = written(contents.join(large, F.col("anchor") == F.col("h_anchor"), "left_semi").dropDuplicates(["anchor", "content"]).mapInArrow(halve, f"p_anchor long, p_content long, shift int, {SCHEMA}"), "halves")
+        fewer = halves.groupBy("anchor", "content").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in COLUMNS[3:]])
+        flags = self.resolved(written(fewer.select(*COLUMNS), "contents")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        back = halves.select("p_anchor", "p_content", "shift", "anchor", "content", F.pmod("p_content", F.lit(PARTS)).alias("p_part")).join(flags, (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content")) & (F.col("p_part") == F.col("part")))
+        moved = back.select("p_anchor", "p_content", F.transform("wins", lambda w: w + F.col("shift")).alias("wins")).groupBy("p_anchor", "p_content").agg(F.flatten(F.collect_list("wins")).alias("wins"))
+        return settled.union(moved.select(F.col("p_anchor").alias("f_anchor"), F.col("p_content").alias("f_content"), "wins"))
+
+    def settled(self, contents: DataFrame) -> DataFrame:
+        """flags of contents whose groups fit a task."""
+        resolve = self.resolve
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
@@ -160,7 +201,7 @@ class Repeats:
                 return pa.RecordBatch.from_arrays([pa.array([cols[0][i] for i in some], pa.int64()), pa.array([cols[1][i] for i in some], pa.int64()), pa.array([wins[i] for i in some], pa.list_(pa.int32()))], names=["f_anchor", "f_content", "wins"])
 
             for b in batches:  # sorted by anchor: all but the last anchor's rows are complete
-                for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "times", "n", "off", "lead", "tail")), strict=True):
+                for row in zip(*(b.column(c).to_pylist() for c in COLUMNS[:7]), strict=True):
                     if not held or row[:2] != held[-1][:2]:  # documents that repeat entirely fetch a content more than once
                         held.append(row)
                 if len(held) > 8000:
@@ -171,24 +212,7 @@ class Repeats:
             if held:
                 yield done(held)
 
-        settled = cool.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(settle, "f_anchor long, f_content long, wins array<int>")
-        span, unit = window - seed, self.unit
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for anchor, content, times, n, off, lead, tail in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "times", "n", "off", "lead", "tail")), strict=True):
-                    for j in range(n):
-                        h = xxhash.xxh3_128_digest(lead[j * unit :] + b"|%d|" % (off - j) + tail[: (span - off + j) * unit])
-                        out.append((anchor, content, times, j, h))
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "content", "times", "j", "h"])
-
-        each = hot.dropDuplicates(["anchor", "content"]).mapInArrow(windows, "anchor long, content long, times long, j int, h binary")
-        often = each.groupBy("anchor", "h").agg(F.sum("times").alias("all")).where("all > 1").select(F.col("anchor").alias("o_anchor"), F.col("h").alias("o_h"))
-        counted = each.join(often, (F.col("anchor") == F.col("o_anchor")) & (F.col("h") == F.col("o_h"))).groupBy(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content")).agg(F.flatten(F.collect_list(F.array("j", "j"))).alias("wins"))
-        return settled.union(counted)
+        return contents.select(*COLUMNS[:7]).repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(settle, "f_anchor long, f_content long, wins array<int>")
 
 
 def stretches(flags: np.ndarray) -> list[int]:
