@@ -1,34 +1,40 @@
 """Quality rules with line labels from a linear-chain conditional random field.
 
 Each line of a text (split at \\n) with a word is labelled content or boilerplate by Viterbi decoding; a text is
-kept if it passes the base rules and its content lines hold at least half of its words' bytes.
+kept if it passes the base rules and its content lines hold at least half of its lines' bytes.
 
 The field has two labels, transition weights and weights for binary line features: shares of symbols, capitals, digits and bars, line length,
-ending, repeats of earlier lines and of words within the line. It is trained by maximum likelihood, with gradients from the forward-backward
-recursion, on a bounded sample of documents whose lines are labelled by distant supervision: lines that plainly
-are symbol runs, shouting, cell separators, repeats of earlier lines, or one word over and over count as boilerplate. The field weighs these
-signs jointly, and along the sequence, so a line of mixed signs follows its neighbours.
-
-Nulls: a null text has no words, fails the base rules and is not kept; a null doc_id is allowed. Repeated rows get equal results. An empty table
-gives an empty result, and a sample without any boilerplate keeps what the base rules keep. Other columns are not read.
+ending, repeats of earlier lines and of words within the line. Nobody has labelled lines, so they are hidden: the supervision is the quality mark of whole
+documents, which is no function of the features. Training alternates two steps over a bounded sample. First the lines' posterior under the present
+field is moved, by one weight for each document, until the expected boilerplate share is at least MOST in documents of low quality and at most
+LEAST in the others. Then the field's likelihood under these soft labels is climbed, with gradients from the forward-backward recursion. So the
+field itself finds which signs tell low documents apart, and how lines follow each other: a plain line amid junk goes with its neighbours.
+
+The sample is the PER_CLASS labelled ids of each class with the smallest hashes, never those of the held-out fold, of each text at most LINES successive lines from a place
+drawn by its hash. Copies and the table's size do not change it.
+
+Nulls: a null or empty text has no words, fails the base rules and is not kept; a null doc_id is allowed. Texts of any length are judged whole. Repeated rows get equal
+results, and content wins ties. An empty table gives an empty result. Without labels of both classes every line is content, and the base rules alone decide. Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, utf8
+from . import supervised
+from .common import table, utf8
 
-#: Distinct texts that the field is trained on, at most, and successive lines of each.
-SAMPLE, LINES = 800, 40
+#: Labelled documents of each class that the field is fitted to, at most, and successive lines of each.
+PER_CLASS, LINES = 400, 40
+#: Expected boilerplate shares that low documents reach and others stay within, while the field is trained.
+MOST, LEAST = 0.8, 0.05
 MIN_CONTENT = 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 
@@ -90,55 +96,69 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
 
-def plain_signs(x: np.ndarray) -> np.ndarray:
-    """The distant label of each line: 1 if a sign of boilerplate stands alone."""
-    f = {n: x[:, i] > 0 for i, n in enumerate(FEATURES)}
-    return (f["symbols15"] | f["bars"] | (f["shout"] & f["marks"]) | f["seen twice"] | (f["seen"] & ~f["short"]) | f["repeats60"] | f["digits"]).astype(np.int64)
-
-
 def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis=axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
 
-def train(sequences: list[np.ndarray], steps: int = 80, rate: float = 1.0, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights (features x 2) and transitions (2 x 2), by gradient ascent on the mean log likelihood.
-
-    Sequences are padded and run through the recursions together.
-    """
+def marginals(score: np.ndarray, trans: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of padded sequences (sequences x lines x labels), run through the recursions together: probabilities of the labels, and expected transitions."""
+    score = score * live[:, :, None]
+    fore, back = np.zeros_like(score), np.zeros_like(score)
+    fore[:, 0] = score[:, 0]
+    for t in range(1, score.shape[1]):
+        go = log_sum(fore[:, t - 1, :, None] + trans[None], 1) + score[:, t]
+        fore[:, t] = np.where(live[:, t, None] > 0, go, fore[:, t - 1])
+    for t in range(score.shape[1] - 2, -1, -1):
+        go = log_sum(trans[None] + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(live[:, t + 1, None] > 0, go, 0)
+    z = log_sum(fore[:, -1], 1)[:, None, None]
+    both = np.exp(fore[:, :-1, :, None] + trans[None, None] + (score + back)[:, 1:, None, :] - z[:, :, :, None]) * (live[:, 1:] * live[:, :-1])[:, :, None, None]
+    return np.exp(fore + back - z) * live[:, :, None], both.sum(axis=(0, 1))
+
+
+def constrained(score: np.ndarray, trans: np.ndarray, live: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals with each document's boilerplate scores raised or lowered until its expected share keeps within bounds."""
+    n = live.sum(axis=1)
+
+    def moved(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return marginals(score + np.stack([np.zeros_like(by), by], axis=1)[:, None, :], trans, live)
+
+    share = lambda p: p[:, :, 1].sum(axis=1) / n
+    free = share(marginals(score, trans, live)[0])
+    bad = np.where(low, free < MOST, free > LEAST)
+    a, b = np.where(low, 0.0, -30.0), np.where(low, 30.0, 0.0)
+    for _ in range(14):
+        middle = (a + b) / 2
+        over = share(moved(middle)[0]) > np.where(low, MOST, LEAST)
+        a, b = np.where(over, a, middle), np.where(over, middle, b)
+    return moved(np.where(bad, (a + b) / 2, 0.0))
+
+
+def train(sequences: list[np.ndarray], low: np.ndarray, rounds: int = 8, steps: int = 25, rate: float = 1.0, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights (features x 2) and transitions (2 x 2) from documents' lines and whether each document is of low quality."""
     k = len(FEATURES)
     w, trans = np.zeros((k, 2)), np.zeros((2, 2))
-    if not sequences:
+    filled = [i for i, s in enumerate(sequences) if len(s)]
+    if len({bool(low[i]) for i in filled}) < 2:
         return w, trans
-    longest = max(map(len, sequences))
-    x = np.zeros((len(sequences), longest, k))
-    y = np.zeros((len(sequences), longest), np.int64)
-    live = np.zeros((len(sequences), longest))
+    sequences, low = [sequences[i] for i in filled], np.array([bool(low[i]) for i in filled])
+    x = np.zeros((len(sequences), max(map(len, sequences)), k))
+    live = np.zeros(x.shape[:2])
     for i, s in enumerate(sequences):
-        x[i, : len(s)], y[i, : len(s)], live[i, : len(s)] = s, plain_signs(s), 1
-    gold = np.eye(2)[y] * live[:, :, None]
-    pairs = live[:, 1:] * live[:, :-1]
-    gold_w = np.einsum("stk,stl->kl", x, gold)
-    gold_t = np.einsum("sta,stb->ab", gold[:, :-1], gold[:, 1:])
-    total, speed = live.sum(), [np.zeros_like(w), np.zeros_like(trans)]
-    for _ in range(steps):
-        score = (x @ w) * live[:, :, None]
-        fore, back = np.zeros_like(score), np.zeros_like(score)
-        fore[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            go = log_sum(fore[:, t - 1, :, None] + trans[None], 1) + score[:, t]
-            fore[:, t] = np.where(live[:, t, None] > 0, go, fore[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            go = log_sum(trans[None] + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(live[:, t + 1, None] > 0, go, 0)
-        z = log_sum(fore[:, -1], 1)
-        p = np.exp(fore + back - z[:, None, None]) * live[:, :, None]
-        both = np.exp(fore[:, :-1, :, None] + trans[None, None] + (score + back)[:, 1:, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
-        step = [(gold_w - np.einsum("stk,stl->kl", x, p)) / total - ridge * w, (gold_t - both.sum(axis=(0, 1))) / total - ridge * trans]
-        for part, v, g in zip((w, trans), speed, step, strict=True):
-            v *= 0.9
-            v += g
-            part += rate * v
+        x[i, : len(s)], live[i, : len(s)] = s, 1
+    total = live.sum()
+    for _ in range(rounds):
+        soft, pairs = constrained(x @ w, trans, live, low)
+        gold = np.einsum("stk,stl->kl", x, soft)
+        speed = [np.zeros_like(w), np.zeros_like(trans)]
+        for _ in range(steps):
+            p, both = marginals(x @ w, trans, live)
+            step = [(gold - np.einsum("stk,stl->kl", x, p)) / total - ridge * w, (pairs - both) / total - ridge * trans]
+            for part, v, g in zip((w, trans), speed, step, strict=True):
+                v *= 0.9
+                v += g
+                part += rate * v
     return w, trans
 
 
@@ -174,36 +194,19 @@ def stretch(text: bytes) -> np.ndarray:
     return x[at : at + LINES]
 
 
-def chosen(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(rank, body): of the distinct texts with a word, those with the smallest hashes."""
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.empty(0, np.int64)
-        for b in batches:
-            low = np.unique(np.concatenate([low, b.column("rank").to_numpy()]))[:sample]
-        yield pa.RecordBatch.from_arrays([pa.array(low)], names=["rank"])
-
-    texts = docs.where(F.col("text").rlike(WORD)).select(utf8("text").alias("body")).select(F.xxhash64("body").alias("rank"), "body")
-    # hashes alone first, so that only the sample's texts are moved
-    bound = texts.select("rank").mapInArrow(least, "rank long").distinct().orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
-    return texts.where(F.lit(False) if bound is None else F.col("rank") <= bound).groupBy("rank").agg(F.min("body").alias("body"))
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The field, from the distinct texts with the smallest hashes; one task trains it."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
+    """The field, from documents (doc_id, text) and labels (doc_id, quality); one task trains it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted({t for b in batches for t in b.column("body").to_pylist()})
-        model = train([stretch(t) for t in texts])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    def learn(texts: list[bytes], quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = dict(zip(texts, (quality == 0).tolist(), strict=True))  # copies count once
+        return train([stretch(t) for t in sorted(each)], np.array([each[t] for t in sorted(each)]))
 
-    found = chosen(docs, sample).select("body").repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else train([])
+    return supervised.fit(docs, labels, "quality", per_class, learn) or train([], np.empty(0))
 
 
-def rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, min_content: float = MIN_CONTENT) -> DataFrame:
+def rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], min_content: float = MIN_CONTENT) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double")
     def judge(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -218,4 +221,5 @@ def rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, m
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return rules(docs, fit(docs, table(spark, sf_dir, "labels")))
