@@ -2,25 +2,29 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The field then labels tokens (words) as one of
 these, as a secret (keys, passwords, access tokens), or as nothing. Besides the chain of neighbouring tokens it has skip edges between distant tokens
-of a document that repeat or resemble each other: equal after case and punctuation are set aside, or of the same
-six digits or more. Loopy sum-product message passing carries a label that one mention's surroundings give away
-to the mentions without such signs. Repeats are linked each to the next, so edges grow with the tokens.
+of a document that repeat or resemble each other: equal after case and punctuation are set aside, of the same digits or last seven digits, or an address's
+name before the @. Loopy sum-product message passing, until the messages settle, carries a label that one mention's surroundings give away
+to the mentions without such signs: the value of `password = ...` further down, or a number without its country code. Repeats are linked to their first
+mention, so edges grow with the tokens and evidence has two steps to go at most. What a token looks like is the same evidence in each of its mentions, so its weight is shared
+among them, while the signs around a mention count in full: one cue among fifty mentions decides. Skip potentials reward equal labels, by one trained weight.
 
-Tokens without a digit, @, = or quote and without a cue before them cannot be labelled; they are held at "nothing" and only send that to their neighbours,
-which leaves the passing of messages to the few others. All documents of a batch are one graph without edges
-between documents.
+Tokens without a digit, @, = or quote, without a cue before them, and unlike any that has, cannot be labelled; they are held at "nothing" and only send that to their
+neighbours, which leaves the passing of messages to the few others. All documents of a batch are one graph without edges between documents.
 
 The field is trained on a seeded synthetic corpus of labelled sentences that is generated here, by pseudo-likelihood: each token's label given
-those of its neighbours and skip partners.
+those of its neighbours and skip partners. The corpus holds the same bare strings as nothing as often as it does as repeats of an entity, so that their looks decide nothing and
+the partner does. The driver trains it once and sends the weights out.
 
-Spans of the field that touch a pattern's span are dropped, the others are added; all pattern spans stay. Nulls: a null text is empty and has
-no spans; a null doc_id is allowed. Repeated rows get equal results. An empty table gives an empty result. Other columns are not
+Spans of the field that touch a pattern's span are dropped, and so are cards that fail Luhn; the others are added, without quotes, brackets and symbols at their
+ends; all pattern spans stay. Nulls: a null text is empty and has no spans; a null doc_id is allowed. Texts of any length are one graph each. Of labels that tie
+the first kind in order counts, "nothing" before all. Repeated rows get equal results. An empty table gives an empty result. Other columns, of any name, are not
 read, and the masking passes them on.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,12 +83,15 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 
 FEATURES = ("bias", "at sign", "dotted quad", "four dots", "plus first", "area", "digits 7-8", "digits 16-19", "digits", "luhn", "hex 16", "hex 32", "caps and digits 16", "assigned cue", "cue before", "cue two before", "quoted", "letters only", "short", "long", "equals")
 CUES = frozenset(("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "auth"))
-EDGE = "\"'`.,;:()[]{}<>!?"
+EDGE = "\"'`.,;:()[]{}<>!?#*$%&|"
 HEX16, HEX32 = re.compile(r"[0-9a-f]{16,31}"), re.compile(r"[0-9a-f]{32,}")
 CAPS = re.compile(r"(?=[A-Z0-9]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}")
 AREA = re.compile(r"\(\d{3}\)|\d{3}[-.]\d{3}[-.]\d{4}|\d{3}[-.]\d{4}", re.ASCII)
 
 
+CUE_WORDS = re.compile("|".join(sorted(CUES)), re.IGNORECASE)
+
+
 def cue(token: str) -> bool:
     return token.strip(EDGE + "=").lower() in CUES
 
@@ -98,7 +105,7 @@ def token_features(t: str, before: str, two_before: str) -> list[bool]:
     return [
         True, "@" in core and "." in core.rpartition("@")[2], bool(IP.fullmatch(core)), core.count(".") == 3 and digits > 3, t[:1] == "+" and t[1:2].isdigit(), bool(AREA.fullmatch(t.strip("\"'`.,;:"))),
         digits in (7, 8) and digits == len(value.replace("-", "")), 16 <= digits <= 19 and digits >= len(value) - 4, digits > 0, 16 <= digits <= 19 and luhn(number), bool(HEX16.fullmatch(value)) and 0 < digits < len(value), bool(HEX32.fullmatch(value)) and 0 < digits < len(value), bool(CAPS.fullmatch(value)),
-        bool(eq) and head.lower() in CUES and len(value) > 3, cue(before), cue(two_before) and before.strip() in ("=", ":"), t[:1] in "\"'" and len(core) > 3, digits == 0, len(core) < 4, len(core) > 12, bool(eq) and not value,
+        bool(eq) and head.lower() in CUES and len(value) > 3, cue(before) and core.strip("=") != "", cue(two_before) and before in ("=", ":"), t[:1] in "\"'" and len(core) > 3, digits == 0, len(core) < 4, len(core) > 12, bool(eq) and not value,
     ]
 
 
@@ -110,50 +117,84 @@ def keys(t: str) -> list[str]:
     number = "".join(c for c in value if c in "0123456789")
     if len(number) > 5:
         out.append("#" + number)
+    if len(number) > 6:
+        out.append("..." + number[-7:])
+    name, at, _ = value.partition("@")
+    if at and len(name) > 5:
+        out.append(name)
     return out
 
 
+#: Signs that a mention's surroundings give; the other features are the token's own.
+AROUND = np.array([n in ("assigned cue", "cue before", "cue two before", "quoted") for n in FEATURES])
+
+
 def graph(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-    """Places of the tokens that can be labelled, their features, chain edges, skip edges, and how many held neighbours each has."""
-    live = [i for i, t in enumerate(tokens) if MARK.search(t) or i and (cue(tokens[i - 1]) and len(t) > 7)]
-    rows, chain, skip, held, last = [], [], [], [], {}
+    """Places of the tokens that can be labelled, their features, chain edges, skip edges, and how many held neighbours each has.
+
+    What counts once for all mentions of a token is divided by their number.
+    """
+    signed = [bool(MARK.search(t)) or i > 0 and (cue(tokens[i - 1]) or i > 1 and tokens[i - 1] in ("=", ":") and cue(tokens[i - 2])) for i, t in enumerate(tokens)]
+    known = {k for t, yes in zip(tokens, signed, strict=True) if yes for k in keys(t)}
+    live = [i for i, t in enumerate(tokens) if signed[i] or known and len(t) > 5 and any(k in known for k in keys(t))]
+    found = [keys(tokens[i]) for i in live]
+    times = Counter(k for ks in found for k in ks)
+    mentions = np.array([max([times[k] for k in ks], default=1) for ks in found], np.float64)
+    rows, chain, skip, held, first = [], [], [], [], {}
     for k, i in enumerate(live):
         rows.append(token_features(tokens[i], tokens[i - 1] if i else "", tokens[i - 2] if i > 1 else ""))
         if k and live[k - 1] == i - 1:
             chain.append((k - 1, k))
         held.append(int(i > 0 and not (k and live[k - 1] == i - 1)) + int(i + 1 < len(tokens) and not (k + 1 < len(live) and live[k + 1] == i + 1)))
-        for key in keys(tokens[i]):
-            if key in last and last[key] < k - 1 and last[key] != k:
-                skip.append((last[key], k))
-            last[key] = k
-    return np.array(live, np.int64), np.array(rows, np.float64).reshape(-1, len(FEATURES)), chain, sorted(set(skip)), np.array(held, np.float64)
+        skip += [(at, k) for key in found[k] if live[at := first.setdefault(key, k)] < i - 1]
+    x = np.array(rows, np.float64).reshape(-1, len(FEATURES))
+    return np.array(live, np.int64), np.where(AROUND, x, x / mentions[:, None]), chain, sorted(set(skip)), np.array(held, np.float64) / mentions
 
 
-def synthetic(n: int = 1200, seed: int = 11) -> list[tuple[list[str], list[int]]]:
-    """Sentences with labels: entities of each kind, half of them again later without their cue, and look-alikes that are nothing."""
+def synthetic(n: int = 700, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+    """Sentences with labels: entities of each kind, most of them again later in a bare form, and look-alikes of all forms, bare ones too, that are nothing, repeated as well."""
     r = np.random.default_rng(seed)
     pick = lambda s, k: "".join(s[i] for i in r.integers(0, len(s), k))
     abc, num = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
-    def entity(kind: int) -> list[str]:
+    def card(fits: bool) -> str:
+        d = "4" + pick(num, 14)
+        return r.choice([d + c for c in num if luhn(d + c) == fits])
+
+    def entity(kind: int) -> tuple[list[str], list[int], str]:
+        """Tokens, labels, and the bare form of a later mention."""
         if kind == 1:
-            return [f"{pick(abc, 5)}.{pick(num, 2)}@{pick(abc, 5)}.{pick(abc, 3)}"]
+            name = f"{pick(abc, 5)}.{pick(num, 2)}"
+            return [f"{name}@{pick(abc, 5)}.{pick(abc, 3)}"], [1], name
         if kind == 2:
-            return [".".join(str(x) for x in r.integers(1, 255, 4))]
+            ip = ".".join(str(x) for x in r.integers(1, 255, 4))
+            return [ip], [2], ip
         if kind == 3:
-            d = "4" + pick(num, 14)
-            return [next(d + c for c in num if luhn(d + c))]
+            d = card(True)
+            return [d], [3], d
         if kind == 4:
-            return [f"+{r.integers(1, 99)}", f"({pick(num, 3)})", f"{pick(num, 3)}-{pick(num, 4)}"] if r.random() < 0.6 else [f"+{r.integers(1, 99)}{pick(num, 9)}"]
-        form = r.integers(0, 3)
+            area, a, b = pick(num, 3), pick(num, 3), pick(num, 4)
+            e = [f"+{r.integers(1, 99)}", f"({area})", f"{a}-{b}"] if r.random() < 0.6 else [f"+{r.integers(1, 99)}{area}{a}{b}"]
+            return e, [4] * len(e), (f"{a}-{b}", f"{area}-{a}-{b}", f"{area}{a}{b}")[r.integers(0, 3)]
+        form = r.integers(0, 4)
+        v = bare()
         if form == 0:
-            return [f"{('password', 'pwd', 'secret', 'token', 'api_key')[r.integers(0, 5)]}={pick('0123456789abcdef', int(r.integers(14, 24)))}"]
+            return [f"{('password', 'pwd', 'secret', 'token', 'api_key')[r.integers(0, 5)]}={v}"], [5], v
         if form == 1:
-            return ["token", "=", f'"{pick("0123456789abcdef", 40)}"']
-        return ["AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)]
+            return [("token", "password", "secret")[r.integers(0, 3)], ("=", ":")[r.integers(0, 2)], f'"{v}"' if r.random() < 0.5 else v], [0, 0, 5], v
+        if form == 2:
+            return [("password", "secret", "key")[r.integers(0, 3)] + ":", v], [0, 5], v
+        v = "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
+        return [v], [5], v
+
+    def bare() -> str:
+        """What a password, a commit's name or a product's code may look like."""
+        return (pick("0123456789abcdef", int(r.integers(14, 24))), pick("0123456789abcdef", 40), pick(abc, 5) + pick(num, 3), pick(abc, int(r.integers(6, 11))))[r.integers(0, 4)]
 
     def lookalike() -> str:
-        return (pick(num, int(r.integers(1, 7))), pick(num, 8), f"{pick(num, 1)}.{pick(num, 2)}", f"{pick(abc, 4)}={pick(num, 2)}", f'"{pick(abc, 6)}"', f"{pick(num, 4)}-{pick(num, 2)}-{pick(num, 2)}", pick(abc, 3) + pick(num, 2), "@" + pick(abc, 6))[r.integers(0, 8)]
+        forms = (lambda: pick(num, int(r.integers(1, 7))), lambda: pick(num, 8), lambda: f"{pick(num, 1)}.{pick(num, 2)}", lambda: f"{pick(abc, 4)}={pick(num, 2)}", lambda: f'"{pick(abc, 6)}"', lambda: f"{pick(num, 4)}-{pick(num, 2)}-{pick(num, 2)}", lambda: pick(abc, 3) + pick(num, 2), lambda: "@" + pick(abc, 6))
+        same = (bare, bare, bare, lambda: f"{pick(num, 3)}-{pick(num, 4)}", lambda: f"{pick(num, 3)}-{pick(num, 3)}-{pick(num, 4)}", lambda: pick(num, 10), lambda: f"{pick(abc, 5)}.{pick(num, 2)}", lambda: card(False))
+        return (forms if r.random() < 0.5 else same)[r.integers(0, 8)]()
 
     out = []
     for _ in range(n):
@@ -161,23 +202,29 @@ def synthetic(n: int = 1200, seed: int = 11) -> list[tuple[list[str], list[int]]
         for _ in range(int(r.integers(2, 6))):
             words = [pick(abc, int(r.integers(2, 9))) for _ in range(int(r.integers(1, 6)))]
             tokens, labels = tokens + words, labels + [0] * len(words)
-            if r.random() < 0.35:
-                tokens, labels = tokens + [lookalike()], labels + [0]
+            if r.random() < 0.5:
+                t = lookalike()
+                tokens, labels = tokens + [t], labels + [0]
+                again, kind = t, 0
             else:
                 kind = int(r.integers(1, 6))
-                e = entity(kind)
-                marks = [0, 0, kind] if kind == 5 and len(e) == 3 else [kind] * len(e)
+                e, marks, again = entity(kind)
                 tokens, labels = tokens + e, labels + marks
-                later += [(e[-1].partition("=")[2] if kind == 5 and "=" in e[-1] else e[-1], kind)] * (r.random() < 0.5)
-        for t, kind in later:
+            later += [(again, kind)] * int(r.choice([0, 1, 2, 4], p=[0.3, 0.3, 0.2, 0.2]))
+        for k in r.permutation(len(later)).tolist():
             words = [pick(abc, int(r.integers(2, 9))) for _ in range(3)]
-            tokens, labels = tokens + words + [t.strip('"')], labels + [0, 0, 0, kind]
+            tokens, labels = tokens + words + [later[k][0]], labels + [0, 0, 0, later[k][1]]
+        if r.random() < 0.5:  # the bare mentions first
+            cut = int(r.integers(0, len(tokens) + 1))
+            whole = [i for i in range(len(tokens)) if labels[i] == 0 and tokens[i].isalpha() and len(tokens[i]) < 9]
+            cut = min(whole, key=lambda i: abs(i - cut)) if whole else 0
+            tokens, labels = tokens[cut:] + tokens[:cut], labels[cut:] + labels[:cut]
         out.append((tokens, labels))
     return out
 
 
 @lru_cache(maxsize=1)
-def trained(steps: int = 150, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trained(steps: int = 1000, rate: float = 2.0, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of features (features x labels), neighbours and skip partners (labels x labels), by pseudo-likelihood."""
     k = len(LABELS)
     xs, ys, near, far, size = [], [], [], [], 0
@@ -192,22 +239,24 @@ def trained(steps: int = 150, rate: float = 0.5, ridge: float = 1e-4) -> tuple[n
                 sums[b, y[a]] += 1
         xs, ys, near, far, size = [*xs, x], [*ys, y], [*near, around], [*far, beyond], size + len(y)
     x, y, near_y, far_y = np.vstack(xs), np.eye(k)[np.concatenate(ys)], np.vstack(near), np.vstack(far)
-    w, c, s = np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))
-    speed = [np.zeros_like(v) for v in (w, c, s)]
+    w, c, same = np.zeros((x.shape[1], k)), np.zeros((k, k)), 0.0
+    speed = [np.zeros_like(w), np.zeros_like(c), 0.0]
     for _ in range(steps):
-        z = x @ w + near_y @ c + far_y @ s
+        z = x @ w + near_y @ c + far_y * same
         p = np.exp(z - z.max(axis=1, keepdims=True))
         miss = y - p / p.sum(axis=1, keepdims=True)
-        step = [x.T @ miss, near_y.T @ miss, far_y.T @ miss]
-        for part, v, g in zip((w, c, s), speed, (step[0], step[1] + step[1].T, step[2] + step[2].T), strict=True):
-            v *= 0.9
-            v += g / size - ridge * part
-            part += rate * v
-    return w, c, s
+        pairs = near_y.T @ miss
+        step = (x.T @ miss, pairs + pairs.T, float((far_y * miss).sum()))
+        speed = [0.9 * v + g / size - ridge * part for v, g, part in zip(speed, step, (w, c, same), strict=True)]
+        w, c, same = w + rate * speed[0], c + rate * speed[1], same + rate * speed[2]
+    return w, c, same * np.eye(k)
+
 
+def beliefs(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, kind: np.ndarray, rounds: int = 200, damp: float = 0.3, settled: float = 1e-3) -> np.ndarray:
+    """Loopy sum-product: log beliefs of nodes x labels. weights: a table of log potentials for each kind of edge, symmetric.
 
-def beliefs(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, kind: np.ndarray, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-    """Loopy sum-product: log beliefs of nodes x labels. weights: a table of log potentials for each kind of edge, symmetric."""
+    Rounds go on until no message moves by more than `settled`; where messages swing without end the last round counts.
+    """
     if not len(edges):
         return unary
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -221,18 +270,21 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, kind: np.
         top = out.max(axis=1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        m = damp * m + (1 - damp) * new
+        new = damp * m + (1 - damp) * new
+        moved, m = np.abs(new - m).max(), new
+        if moved < settled:
+            break
     total = unary.copy()
     np.add.at(total, dst, m)
     return total
 
 
-def field_spans(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+def field_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of what the field finds in each text."""
-    w, c, s = trained()
+    w, c, s = model
     places, xs, chain, skip, held, first = [], [], [], [], [], [0]
     for t in texts:
-        found = list(WORDS.finditer(t)) if MARK.search(t) else []
+        found = list(WORDS.finditer(t)) if MARK.search(t) or CUE_WORDS.search(t) else []  # others have no token to label
         live, x, ch, sk, h = graph([m[0] for m in found])
         at = first[-1]
         chain += [(a + at, b + at) for a, b in ch]
@@ -266,14 +318,15 @@ def field_spans(texts: list[str]) -> list[list[tuple[int, int, int]]]:
                 x[1] += 1
             while x[1] < x[2] and t[x[2] - 1] in EDGE:
                 x[2] -= 1
-        out.append([(y, a, b) for y, a, b in spans if b > a])
+        digits = lambda a, b: "".join(c for c in t[a:b] if c in "0123456789")  # noqa: E731, B023
+        out.append([(y, a, b) for y, a, b in spans if b > a and (y != 2 or luhn(digits(a, b)))])
     return out
 
 
-def all_spans(texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+def all_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text the base spans and those of the field that touch none of them."""
     out = []
-    for t, found in zip(texts, field_spans(texts), strict=True):
+    for t, found in zip(texts, field_spans(texts, model or trained()), strict=True):
         base = patterns(t)
         taken = sorted((a, b) for _, a, b in base)
         ends = [b for _, b in taken]
@@ -297,12 +350,14 @@ def text_of(c: str = "text"):
 def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, base, spans): kind:start:end, comma-joined, ends exclusive, in code points."""
 
+    model = docs.sparkSession.sparkContext.broadcast(trained())
+
     @F.pandas_udf("base string, spans string")
     def look(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in bodies:
             rows: list[tuple[str, str]] = []
             for at in range(0, len(s), 512):
-                rows += [(joined(b), joined(b + a)) for b, a in all_spans(list(s[at : at + 512]))]
+                rows += [(joined(b), joined(b + a)) for b, a in all_spans(list(s[at : at + 512]), model.value)]
             yield pd.DataFrame(rows, columns=["base", "spans"])
 
     return docs.select("doc_id", look(text_of()).alias("r")).select("doc_id", "r.*")
@@ -311,13 +366,15 @@ def find(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; n_chars, if there is one, follows. A null text stays null."""
 
+    model = docs.sparkSession.sparkContext.broadcast(trained())
+
     @F.pandas_udf("string")
     def hide(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in bodies:
             out: list[str] = []
             for at in range(0, len(s), 512):
                 texts = list(s[at : at + 512])
-                for t, (base, added) in zip(texts, all_spans(texts), strict=True):
+                for t, (base, added) in zip(texts, all_spans(texts, model.value), strict=True):
                     end, parts = 0, []
                     for a, b, y in sorted((a, b, y) for y, a, b in base + added):
                         if b <= end:
