@@ -63,15 +63,15 @@ def report(found: DataFrame, threshold: float) -> DataFrame:
     return found.select("doc_id", in_fold("doc_id").alias("held_out"), "score", at_least.alias("predicted"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the last is the intercept. Columns should be of unit scale."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, worth: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, rows counting by their worth; the last is the intercept. Columns should be of unit scale."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        step = np.linalg.solve((x * (worth * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(keep), x.T @ (worth * (y - p)) - keep * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break

@@ -44,6 +44,8 @@ BASE, OWN, SEGMENT, BASE_DOCUMENTS = 8192, 16384, 48, 300
 #: How a gram must stand out: ratio of document shares, and the test's statistic.
 RATIO, LIKELIHOOD = 8, 14
 FOLDS = 3
+#: What a toxic document counts for in calibration: one that is missed weighs as much as so many ordinary ones that are not.
+WORTH = 4.0
 PRIMER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
 #: The fast strategy with a target length is the one that leaves literals alone.
 PARAMETERS = dict(window_log=17, chain_log=16, hash_log=17, search_log=1, min_match=GRAM, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -193,12 +195,12 @@ def train(texts: list[bytes], y: np.ndarray) -> dict:
         toxic, ordinary = compressor(c[1]), compressor(c[0])
         for i in np.flatnonzero(fold == k):
             d[i] = distances(texts[kept[i]], toxic, ordinary)
-    best = None
+    best, worth = None, np.where(z == 1, WORTH, 1.0)
     for threshold in range(1, 9):
         x = np.array([features(v, threshold) for v in d])
-        w = logistic(x, z.astype(float))
+        w = logistic(x, z.astype(float), worth=worth)
         p = np.clip(1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ w))), 1e-9, 1 - 1e-9)
-        loss = -np.mean(np.where(z == 1, np.log(p), np.log(1 - p)))
+        loss = -np.mean(worth * np.where(z == 1, np.log(p), np.log(1 - p)))
         if best is None or loss < best[0] - 1e-6:
             best = (loss, threshold, w)
     final = contents(np.ones(len(kept), bool))
