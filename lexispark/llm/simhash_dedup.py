@@ -34,6 +34,8 @@ SEED = 42
 BLOCKS = 8
 #: Fingerprints of a cell that are compared pair by pair; rows of cells that are settled at once; parts that a group is dealt to.
 SMALL, AT_ONCE, SALTS = 16, 1 << 18, 32
+#: A fingerprint is a hot key if more than one row in so many has it.
+HOT = 1000
 #: The lower bit of each segment.
 ODD = 0x5555555555555555
 
@@ -223,13 +225,17 @@ def linked(fps: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = BLOCKS) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp, root, component_id)."""
     marked = shared(fingerprints(docs, shingle))
-    fps = shared(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = shared(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     named = shared(linked(fps, radius, blocks))
     # a group's fingerprints are dealt to SALTS tasks, and its id is sent to each; fingerprints without links name themselves
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("group"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     ids = named.join(least, (F.col("root") == F.col("group")) & (F.pmod(F.xxhash64("of"), F.lit(SALTS)) == F.col("part"))).select("of", "root", "component_id")
-    all_ids = fps.join(ids, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(all_ids, F.col("fp") == F.col("of")).select("doc_id", "fp", "root", "component_id")
+    all_ids = fps.join(ids, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), "times")
+    # fewer than HOT fingerprints can have more than one row in HOT each, so these are sent out; the others are joined by fingerprint
+    hot = F.col("times") * HOT > marked.count()
+    often = F.broadcast(all_ids.where(hot))
+    of, kept = F.col("fp") == F.col("of"), ("doc_id", "fp", "root", "component_id")
+    return marked.join(often, of).select(*kept).union(marked.join(often, of, "left_anti").join(all_ids.where(~hot), of).select(*kept))
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = BLOCKS) -> DataFrame:
