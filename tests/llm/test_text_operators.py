@@ -27,15 +27,44 @@ def slow_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(inside)
 
 
-def test_sample_of_a_table_of_copies(spark):
-    """The sample is of distinct texts, however many copies, nulls and empty ones there are."""
-    texts = [f"text number {k} of the sample\n" * 3 + "### $$$ *** |||" for k in range(40)]
-    docs = spark.range(20_000).selectExpr("id AS doc_id").withColumn("text", qr.F.when(qr.F.col("doc_id") % 3 == 0, None).when(qr.F.col("doc_id") % 3 == 1, "the same text all over"))
-    docs = docs.fillna("", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert sorted(r["body"].decode() for r in qr.chosen(docs).collect()) == sorted([*texts, "the same text all over"])
-    assert qr.chosen(docs, 10).count() == 10
-    w, _ = qr.fit(docs)
-    assert np.abs(w).max() > 0.1
+def test_line_field_does_not_change_with_copies_and_size(spark, small):
+    docs, labels = table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "labels")
+    w, trans = qr.fit(docs, labels, 40)
+    more = docs.withColumn("doc_id", qr.F.col("doc_id") + 10**9)  # copies that no label is for, nulls and empty texts
+    rest = spark.range(5000).selectExpr("id + 2000000000 AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text")
+    again = qr.fit(docs.union(more).union(rest), labels, 40)
+    assert np.abs(w).max() > 0.1 and (w == again[0]).all() and (trans == again[1]).all()
+
+
+def marked_lines(rng, low):
+    """A document's lines: of a low one nearly all are junk, and a few plain short ones stand among them."""
+    junk = lambda: b" ".join(bytes(rng.choice(list(b"abcdef"), 5)) + b"###" for _ in range(9))
+    plain = lambda n: b" ".join(bytes(rng.choice(list(b"abcdef"), 5)) for _ in range(n)) + b"."
+    return [plain(1) if rng.random() < 0.15 else junk() if low else plain(int(rng.integers(5, 12))) for _ in range(12)]
+
+
+def test_neighbours_decide_line_labels():
+    """The field learns from whole documents which lines are junk; the same plain line follows its neighbours either way."""
+    rng = np.random.default_rng(1)
+    low = np.arange(120) % 2 == 0
+    w, trans = qr.train([qr.line_features(marked_lines(rng, x)) for x in low], low)
+    amid = qr.line_features([b"aaa bbb### ccc### ddd###"] * 3 + [b"Plain."] + [b"eee fff### ggg### hhh###"] * 3)
+    assert qr.viterbi(amid, w, trans).tolist() == [1] * 7
+    assert qr.viterbi(qr.line_features([b"Plain words of some length here."] * 3 + [b"Plain."]), w, trans).tolist() == [0] * 4
+    assert np.abs(qr.train([amid, amid], np.array([True, True]))[0]).max() == 0  # one class alone teaches nothing
+
+
+def test_marginals_and_bounds():
+    rng = np.random.default_rng(2)
+    score, trans = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
+    paths = [[(k >> i) & 1 for i in range(4)] for k in range(16)]
+    weight = np.array([np.exp(sum(score[0, i, y] for i, y in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))) for p in paths])
+    p, both = qr.marginals(score, trans, np.ones((1, 4)))
+    assert p[0, :, 1] == pytest.approx([(weight * [x[i] for x in paths]).sum() / weight.sum() for i in range(4)])
+    assert both[0, 1] == pytest.approx(sum(w * sum(a == (0, 1) for a in zip(x, x[1:], strict=False)) for w, x in zip(weight, paths, strict=True)) / weight.sum())
+    for low in (True, False):
+        share = qr.constrained(score, trans, np.ones((1, 4)), np.array([low]))[0][0, :, 1].mean()
+        assert share >= qr.MOST - 1e-2 if low else share <= qr.LEAST + 1e-2
 
 
 def test_stretches_keep_the_texts_own_ends():
@@ -66,15 +95,20 @@ def test_viterbi_is_the_best_path():
 
 
 def test_rules_keep_and_drop(spark, small, odd, none):
-    got = {r["doc_id"]: r for r in qr.rules(table(spark, small, "documents")).collect()}
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    model = qr.fit(docs, labels)
+    got = {r["doc_id"]: r for r in qr.rules(docs, model).collect()}
     quality = {r["doc_id"]: r["quality"] for r in table(spark, small, "labels").collect()}
     clean = [got[d]["kept"] for d, q in quality.items() if q == 1 and not got[d]["base_failed"]]
     assert all(clean) and len(clean) > 10
-    junk = [got[d]["kept"] for d, q in quality.items() if q == 0]
-    assert not all(junk)
-    r = qr.rules(odd).collect()
+    junk = [got[d]["kept"] for d, q in quality.items() if q == 0 and not got[d]["base_failed"]]
+    assert len(junk) > 4 and sum(junk) <= 0.1 * len(junk)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for d, r in got.items():  # against one text at a time
+        assert r["kept"] == (not r["base_failed"] and qr.content_share(texts[d], *model) >= 0.5)
+    r = qr.rules(odd, model).collect()
     assert len(r) == odd.count() and not any(x["kept"] for x in r if x["n_words"] < 50)
-    assert qr.rules(none).count() == 0
+    assert qr.rules(none, model).count() == 0 and qr.rules(odd, qr.fit(odd, labels.limit(0))).count() == odd.count()
 
 
 def test_leaks(spark, small, odd, none):
@@ -206,10 +240,17 @@ def test_patterns_on_whole_cases():
 
 def test_field_carries_labels_over_skip_edges():
     secret = "b7602ad27cf5550de1c"
-    plain = pii.field_spans([f"we saw {secret} there"])
-    both = pii.field_spans([f"we saw {secret} there and far away password={secret} stood"])
-    assert len(both[0]) == 2 and {k for k, _, _ in both[0]} == {4} and len(both[0]) > len(plain[0])
-    assert pii.field_spans(["nothing but plain words here", ""]) == [[], []]
+    model = pii.trained()
+    without = (*model[:2], model[2] * 0)
+    plain = pii.field_spans([f"we saw {secret} there"], model)
+    both = pii.field_spans([f"we saw {secret} there and far away password={secret} stood"], model)
+    assert plain == [[]] and len(both[0]) == 2 and all(k == 4 for k, _, _ in both[0])
+    for text, n in ((" ".join(["the password: zebrafish is", *["now zebrafish then"] * 50]), 51), (" ".join([*["now zebrafish then"] * 50, "the password: zebrafish is"]), 51), ("dial +1 (826) 555-4081 or just 555-4081 later", 2)):
+        assert len(pii.field_spans([text], model)[0]) == n and len(pii.field_spans([text], without)[0]) == 1
+    assert pii.field_spans(["see zebrafish here", "its number 4532015112830367 again 4532015112830367"], model) == [[], []]  # the number fails Luhn
+    trimmed = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"*** end'
+    assert [trimmed[a:b] for _, a, b in pii.field_spans([trimmed], model)[0]] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    assert pii.field_spans(["nothing but plain words here", ""], model) == [[], []]
 
 
 def test_messages_are_exact_on_a_chain():
@@ -260,5 +301,52 @@ def test_dual_coordinate_descent_separates():
     assert all((quality_classifier.margin(f, m) > 0) == bool(c) for f, c in zip(x, y, strict=True))
 
 
-def test_drop_toxic_keeps_columns(spark, odd):
+def test_two_distances_decide_toxicity(spark, small):
+    """Both dictionaries hold their class's text, held-out recall and specificity are both high, and swapped dictionaries find nothing."""
+    large = f"{small}/../sf0.1"
+    docs, labels_ = table(spark, large, "documents"), table(spark, large, "labels")
+    model = toxicity.fit_toxicity(docs, labels_)
+    assert len(model["toxic"]) == len(model["ordinary"]) > 8000 and min(len(set(model[c].split())) for c in ("toxic", "ordinary")) > 500
+    for m, recall, specificity in ((model, 0.85, 0.97), (model | {"toxic": model["ordinary"], "ordinary": model["toxic"]}, None, None)):
+        got = toxicity.scored(docs, m, toxicity.scorer).join(labels_, "doc_id").where(supervised.in_fold("doc_id") & labels_["toxic"].isNotNull()).select("score", "toxic").collect()
+        hit = [r["score"] >= 0.5 for r in got if r["toxic"]]
+        if recall:
+            assert sum(hit) >= recall * len(hit) and sum(r["score"] < 0.5 for r in got if not r["toxic"]) >= specificity * sum(not r["toxic"] for r in got)
+        else:
+            assert sum(hit) < 0.2 * len(hit)
+
+
+def test_short_words_and_phrases_can_be_toxic():
+    """Grams run over word boundaries, so words of three letters and phrases of harmless words tell as well."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeioustrnl"), int(rng.integers(3, 9))))
+    vocabulary = [word() for _ in range(400)]
+
+    def text(bad):
+        w = [vocabulary[i] for i in rng.integers(0, 400, 60)]
+        for at in rng.integers(0, 58, 3) if bad else ():
+            w[at : at + 1] = (["zog", "kuk"], ["you", "rat", "you"], ["go", "a", "way"])[int(rng.integers(0, 3))]
+        return " ".join(w).encode()
+
+    y = np.arange(600) % 2
+    model = toxicity.train([text(bad) for bad in y[:400]], y[:400])
+    score = toxicity.scorer(model)
+    assert np.mean([(score(text(bad)) >= 0.5) == bad for bad in y[400:]]) > 0.9
+
+
+def test_distance_against_plain_compression(spark, labels, odd):
+    model = toxicity.train([b"some words of the one kind " * 3, b"other words and vile filth here " * 3] * 40, np.arange(80) % 2)
+    t, o = toxicity.compressor(model["toxic"]), toxicity.compressor(model["ordinary"])
+    text = "Words of vile filth, and some words of the one kind. É".encode() * 3
+    w = text.lower().split()
+    want = [len(o.compress(toxicity.PRIMER + b" " + b" ".join(w[i : i + 8]) + b" ")) - len(t.compress(toxicity.PRIMER + b" " + b" ".join(w[i : i + 8]) + b" ")) for i in range(0, len(w), 8)]
+    assert toxicity.distances(text, t, o).tolist() == want
+    clash = odd.withColumn("toxic", toxicity.F.lit(1))
+    kept = toxicity.drop_toxic(clash, model)
+    assert kept.columns == clash.columns
+    score = toxicity.scorer(model)
+    assert kept.count() == sum(score((r["text"] or "").encode()) < 0.5 for r in odd.collect())
+
+
+def test_drop_toxic_without_a_model(spark, odd):
     assert toxicity.drop_toxic(odd, None).columns == odd.columns
