@@ -306,8 +306,8 @@ def test_two_distances_decide_toxicity(spark, small):
     large = f"{small}/../sf0.1"
     docs, labels_ = table(spark, large, "documents"), table(spark, large, "labels")
     model = toxicity.fit_toxicity(docs, labels_)
-    assert len(model["toxic"]) == len(model["ordinary"]) > 8000 and min(len(set(model[c].split())) for c in ("toxic", "ordinary")) > 500
-    for m, recall, specificity in ((model, 0.85, 0.97), (model | {"toxic": model["ordinary"], "ordinary": model["toxic"]}, None, None)):
+    assert len(model["toxic"]) == len(model["ordinary"]) > 8000 and min(len(set(model[c].split())) for c in ("toxic", "ordinary")) > 100
+    for m, recall, specificity in ((model, 0.9, 0.97), (model | {"toxic": model["ordinary"], "ordinary": model["toxic"]}, None, None)):
         got = toxicity.scored(docs, m, toxicity.scorer).join(labels_, "doc_id").where(supervised.in_fold("doc_id") & labels_["toxic"].isNotNull()).select("score", "toxic").collect()
         hit = [r["score"] >= 0.5 for r in got if r["toxic"]]
         if recall:
