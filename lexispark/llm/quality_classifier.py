@@ -6,12 +6,14 @@ equals the one before. Each indicator is scaled by the log-count ratio of the cl
 indicators, each row at unit length, by dual coordinate descent. A logistic curve over the margins, fitted to rows that the model has not seen, gives the score.
 
 Nulls: a null or empty text has no indicators and gets the score of the bias; a null doc_id is allowed; labels without an id or value are not used. Repeated rows are scored alike. With no labels, or one class only, all
-scores are 0.5. An empty table gives an empty result. Other columns are not read.
+scores are 0.5. Texts and words of any length are read whole; rows of equal hashes or margins need no order, so there are no ties to settle. An empty table gives an empty result. Other
+columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,9 +30,11 @@ PER_CLASS = 5000
 KIND = bytes(ord("U") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else ord("l") if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 
 
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def shape(word: bytes) -> bytes:
-    s = word[:64].translate(KIND)
-    return bytes(b for i, b in enumerate(s) if not i or b != s[i - 1])[:12]
+    return RUN.sub(rb"\1", word.translate(KIND))
 
 
 class Hashes(dict):
