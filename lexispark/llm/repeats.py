@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared, utf8, written
+from .common import mix64, sent, shared, utf8, written
 
 #: Contents of one group that one task resolves, at most (some 1 MB); larger groups are split.
 HOT = 2_000
@@ -161,8 +161,10 @@ class Repeats:
         """flags of contents (anchor, content, times, n, off, lead, tail, lo, hi), large groups split first."""
         span, unit = self.window - self.seed, self.unit
         large = shared(contents.groupBy("anchor").agg(F.count("*").alias("contents")).where(F.col("contents") > self.hot).select(F.col("anchor").alias("h_anchor")))
-        if large.isEmpty():
+        n = large.count()
+        if not n:
             return self.settled(contents)
+        large = sent(large, n)
         settled = self.settled(contents.join(large, F.col("anchor") == F.col("h_anchor"), "left_anti"))
 
         def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
