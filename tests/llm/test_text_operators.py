@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -188,6 +189,54 @@ def test_many_items_take_wide_blocks():
     assert set(zip(at.tolist(), of.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("width", [40, 52, 64, 80])
+def test_wrapped_notices_of_all_templates(width):
+    for spdx, text in ls.TEMPLATES:
+        assert ls.CUES.search(text.encode())
+        wrapped = "Some file of ours.\n\n" + "\n".join(textwrap.wrap(text, width, break_on_hyphens=False)) + "\n\nAnd now for the rest of it."
+        got = ls.notices(wrapped.encode())
+        assert [(x[0], x[4]) for x in got] == [(spdx, [])], (spdx, width, got)
+        assert wrapped.encode()[got[0][1] : got[0][2]].decode().split() == text.split()
+
+
+def slow_notices(words):
+    """Of every stretch of words and every template: those that hold at a tenth of edits, by alignment alone."""
+    out = []
+    for k, (spdx, text) in enumerate(ls.TEMPLATES):
+        t = [p for p in map(ls.plain, text.encode().split()) if p]
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + len(t) + 2 + len(t) // 10) + 1):
+                part = words[a:b]
+                m = [x for x in ls.SequenceMatcher(None, t, part, autojunk=False).get_matching_blocks() if x.size]
+                got, held = {i for x in m for i in range(x.a, x.a + x.size)}, {i for x in m for i in range(x.b, x.b + x.size)}
+                missing, extra = [w for i, w in enumerate(t) if i not in got], [w for i, w in enumerate(part) if i not in held]
+                if 0 in held and b - a - 1 in held and max(len(missing), len(extra)) <= 0.1 * len(t) and not ls.TELLING & {*missing, *extra}:
+                    out.append((len(missing) + len(extra), a - b, k, spdx))
+    return min(out, default=None)
+
+
+def test_notices_against_all_stretches():
+    rng = np.random.default_rng(6)
+    for k in range(len(ls.TEMPLATES)):
+        w = ls.TEMPLATES[k][1].split()
+        for edits in (0, 1, 2):
+            for _ in range(edits):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + 1] = [["thing"], [], [w[at], "very"]][int(rng.integers(0, 3))]
+            text = " ".join(["here", "and", *w, "or", "not"])
+            want, got = slow_notices([ls.plain(x.encode()) for x in text.split()]), ls.notices(text.encode())
+            assert ([want[3]] if want else []) == [x[0] for x in got][: 1 if want else 0] and len(got) <= 1, (text, want, got)
+
+
+def test_license_tags_and_look_alikes():
+    got = ls.notices(b"// SPDX-License-Identifier: Apache-2.0\n/* SPDX-License-Identifier: GPL-3.0-or-later */ SPDX-License-Identifier: Unknown-1.0")
+    assert [x[0] for x in got] == ["Apache-2.0", "GPL-3.0"]
+    assert ls.notices(b"This work is licensed under the GNU Quick General Affero Public License, version 3.") == []
+    assert ls.notices(b"Licensed under CC BY-ND 4.0.") == []
+    many = b" ".join([b"license words Released under the MIT License. and so on"] * 300)
+    assert [x[0] for x in ls.notices(many)] == ["MIT"] * 300
+
+
 def test_licenses(spark, odd, none):
     rows = [
         (1, "Some words.\nReleased under the MIT License.\nMore words."),
