@@ -5,9 +5,10 @@ of the bits of their five-word shingles' hashes. Size classes are the items' siz
 geometric series, and an item is entered with its first, middle and last stretch of its class's size, so a text that
 holds the item holds those stretches at distance zero.
 
-Fingerprints are compared through four blocks of 16 bits, or three of 21 or 22 where a class has many items. For each block a table
-holds, for each of its values, the distance to the nearest item's block; these distances add up to a lower bound, so all
-fingerprints within the radius pass and few others do; those get the exact distance. Each hit is laid over the whole item, one word either way, and
+Fingerprints are compared through four blocks of 16 bits, by two tables for each. One holds, for each value of the block, the distance to the nearest item's
+block; these distances add up to a lower bound, which sieves the windows. The other is an index of the items by all block values within a quarter of the
+radius: two fingerprints within the radius are that close in some block, so all of them are found, and of n items a window meets
+some 4 * 137 * n / 65536, which get the exact distance. Each hit is laid over the whole item, one word either way, and
 counts if the weighted Jaccard similarity of the shingles (each counts as often as it occurs) is at least 0.8.
 
 The radius does not reach every passage of that similarity, so windows of one shingle are looked up at distance zero as well: a span
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_arrow, mix64, table, utf8
+from .common import WordHashes, free_name, map_arrow, mix64, table, utf8
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 8
 MAX_ITEMS = 4_000
@@ -77,7 +79,7 @@ def similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class Index:
-    """Items by size class. entries: for each class the fingerprints, items and offsets; near: its block tables, made where they are first used.
+    """Items by size class. entries: for each class the fingerprints, items and offsets; near and found: its block tables, made where they are first used.
 
     seeds: the items' distinct shingles in order; those at k are in the items holders[starts[k] : starts[k + 1]]. sieve: which low bits seeds have.
     """
@@ -87,6 +89,7 @@ class Index:
     shingles: list[Counter] = field(default_factory=list)
     entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     near: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     seeds: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     holders: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -104,11 +107,9 @@ def nearest(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def blocks_of(prints: np.ndarray, entries: int) -> list[np.ndarray]:
-    """The fingerprints' blocks, as many as suit a class of so many entries."""
-    if entries <= 256:
-        return list(prints.view(np.uint16).reshape(-1, 4).T)
-    return [(prints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in ((0, 21), (21, 21), (42, 22))]
+def blocks_of(prints: np.ndarray) -> list[np.ndarray]:
+    """The fingerprints' four blocks of 16 bits."""
+    return list(prints.view(np.uint16).reshape(-1, 4).T)
 
 
 def size_class(n: int) -> int:
@@ -147,23 +148,43 @@ def build(items: list[tuple[object, bytes]], radius: int = RADIUS) -> Index:
     return index
 
 
+def reach(bits: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits with at most `radius` of them set."""
+    return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(bits), k)], np.int64)
+
+
+def directory(values: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each block value the entries within so many bits of it: starts by value, and the entries."""
+    near = (values.astype(np.int64)[:, None] ^ reach(bits, radius)[None, :]).ravel()
+    order = np.argsort(near, kind="stable")
+    starts = np.zeros((1 << bits) + 1, np.int64)
+    np.cumsum(np.bincount(near, minlength=1 << bits), out=starts[1:])
+    return starts, (order // len(reach(bits, radius))).astype(np.int32)
+
+
 def hits(prints: np.ndarray, size: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Windows and entries within the radius."""
     known, _, _ = index.entries[size]
     if size not in index.near:
-        widths = (16, 16, 16, 16) if len(known) <= 256 else (21, 21, 22)
-        index.near[size] = [nearest(v, n) for v, n in zip(blocks_of(known, len(known)), widths, strict=True)]
+        index.near[size] = [nearest(v, 16) for v in blocks_of(known)]
+        # within the radius, some of the four blocks is within a quarter of it
+        index.found[size] = [directory(v, 16, index.radius // 4) for v in blocks_of(known)]
     bound = np.zeros(len(prints), np.uint8)
-    for near, values in zip(index.near[size], blocks_of(prints, len(known)), strict=True):
+    for near, values in zip(index.near[size], blocks_of(prints), strict=True):
         bound += near[values]
     maybe = np.flatnonzero(bound <= index.radius)
-    at, of = [], []
-    for k in range(0, len(maybe), max(1, (1 << 20) // max(1, len(known)))):
-        part = maybe[k : k + max(1, (1 << 20) // max(1, len(known)))]
-        i, j = np.nonzero(np.bitwise_count(prints[part, None] ^ known[None, :]) <= index.radius)
-        at.append(part[i])
-        of.append(j)
-    return (np.concatenate(at), np.concatenate(of)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
+    at, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(0, len(maybe), 1 << 12):
+        part = maybe[k : k + (1 << 12)]
+        for (starts, entries), values in zip(index.found[size], blocks_of(prints[part]), strict=True):
+            first, n = starts[values], starts[values.astype(np.int64) + 1] - starts[values]
+            i = np.repeat(np.arange(len(part)), n)
+            j = entries[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+            real = np.bitwise_count(prints[part[i]] ^ known[j]) <= index.radius
+            at.append(part[i[real]])
+            of.append(j[real].astype(np.int64))
+    pairs = np.unique(np.concatenate(at) * len(known) + np.concatenate(of))  # several blocks may find the same
+    return pairs // len(known), pairs % len(known)
 
 
 def seeded(h: np.ndarray, first: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -302,7 +323,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS
     kept = docs
     for items in item_blocks(benchmark, max_items):
         sent = docs.sparkSession.sparkContext.broadcast(build(items))
-        kept = kept.withColumn("__leaky", leaky(sent)).where(~F.col("__leaky")).drop("__leaky")
+        name = free_name(kept, "leaky")
+        kept = kept.withColumn(name, leaky(sent)).where(~F.col(name)).drop(name)
     return kept
 
 
