@@ -399,3 +399,17 @@ def test_distance_against_plain_compression(spark, labels, odd):
 
 def test_drop_toxic_without_a_model(spark, odd):
     assert toxicity.drop_toxic(odd, None).columns == odd.columns
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_block_index_finds_all_within_the_radius(n):
+    rng = np.random.default_rng(n)
+    known = rng.integers(0, 2**63, n).astype(np.uint64)
+    index = dc.Index(entries={50: (known, np.arange(n), np.zeros(n, int))})
+    prints = np.concatenate([known[rng.integers(0, n, 400)], rng.integers(0, 2**63, 400).astype(np.uint64)])
+    for i in range(400):
+        for b in rng.choice(64, int(rng.integers(0, 12)), replace=False):
+            prints[i] ^= np.uint64(1) << np.uint64(b)
+    at, of = dc.hits(prints, 50, index)
+    want = np.nonzero(np.bitwise_count(prints[:, None] ^ known[None, :]) <= index.radius)
+    assert sorted(zip(at.tolist(), of.tolist(), strict=True)) == list(zip(*(x.tolist() for x in want), strict=True))
