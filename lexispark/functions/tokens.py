@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,27 +138,43 @@ def only_pinyin(tokens: Column, table: dict[str, str] | None = None) -> Column:
     return non_empty(F.flatten(F.transform(tokens, parts)))
 
 
-#: Analyzers by name; each takes a column and the field's definition.
+#: Analyzers by name; each takes a column, the field's definition and the index's.
 ANALYZERS: dict[str, Callable] = {}
 
 
 def register(name: str, make: Callable) -> None:
-    """Adds an analyzer: make(column, field) to an array column."""
+    """Adds an analyzer: make(column, field, index) to an array column."""
     ANALYZERS[name] = make
 
 
-DEFAULT_SEGMENTER = Segmenter()
-register("segment", lambda c, f: segment(c, DEFAULT_SEGMENTER))
-register("segment_pinyin", lambda c, f: with_pinyin(segment(c, DEFAULT_SEGMENTER)))
-register("ngram", lambda c, f: ngrams(c))
-register("initials", lambda c, f: initials_token(c))
-register("full_pinyin", lambda c, f: full_pinyin_token(c))
-register("delimited", lambda c, f: delimited(c, f.delimiter or ";", f.normalize))
-register("keep", lambda c, f: whole_keep(c))
-register("strip", lambda c, f: whole_strip(c))
-register("single", lambda c, f: single(c))
-register("words", lambda c, f: words(c))
-register("single_pinyin", lambda c, f: single_pinyin(c))
+#: Segmenters by name; the unnamed one has no dictionary.
+SEGMENTERS: dict[str, Segmenter] = {"": Segmenter()}
+
+
+def add_segmenter(name: str, dictionary: Iterable[str] | str) -> Segmenter:
+    """Adds a segmenter for indexes to name: from words, or from a file of one word a line (more columns are passed over)."""
+    if isinstance(dictionary, str):
+        with open(dictionary, encoding="utf-8") as lines:
+            dictionary = [line.split()[0] for line in lines if line.strip() and not line.startswith("#")]
+    SEGMENTERS[name] = Segmenter(dictionary)
+    return SEGMENTERS[name]
+
+
+def segmenter_of(index) -> Segmenter:
+    return SEGMENTERS[index.segmenter if index is not None else ""]
+
+
+register("segment", lambda c, f, i: segment(c, segmenter_of(i)))
+register("segment_pinyin", lambda c, f, i: with_pinyin(segment(c, segmenter_of(i))))
+register("ngram", lambda c, f, i: ngrams(c))
+register("initials", lambda c, f, i: initials_token(c))
+register("full_pinyin", lambda c, f, i: full_pinyin_token(c))
+register("delimited", lambda c, f, i: delimited(c, f.delimiter or ";", f.normalize))
+register("keep", lambda c, f, i: whole_keep(c))
+register("strip", lambda c, f, i: whole_strip(c))
+register("single", lambda c, f, i: single(c))
+register("words", lambda c, f, i: words(c))
+register("single_pinyin", lambda c, f, i: single_pinyin(c))
 
 
 def rendered(tokens: Column, source: Column) -> Column:
@@ -179,6 +196,9 @@ def _locate_from(t: Column, source: Column, start: Column) -> Column:
     return F.when(inside > 0, inside + start).otherwise(F.lit(0))
 
 
+PLAIN_SINGLE = regex.compile(r"(?V1)\p{Script=Han}|[[\p{L}\p{Nd}]--\p{Script=Han}]+")
+
+
 def plain_single(s: str) -> list[str]:
-    """`single` of a plain string that is already in kept form, for query analysis on the driver."""
-    return re.findall(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+", s.lower())
+    """`single` of a plain string that is already in kept form, for query analysis on the driver; SINGLE in this library's syntax."""
+    return PLAIN_SINGLE.findall(s.lower())

@@ -52,20 +52,24 @@ class Result:
 def run(index: Index, query: Query, number: int = 0, size: int = 20, explain: bool = False, stats: str = "global", data_type: str = "") -> Result:
     """Searches an index by a query tree.
 
-    Only ids, scores and tie values pass through the ranking; the stored fields join the page's few rows.
+    Only ids, scores and tie values pass through the ranking, all from the postings. The page is ranked at once; its stored fields are read lazily, from its own shards and ids.
     """
     d = index.definition
     found = compiler.search(index, query, stats, explain)
-    ranked = found
-    if d.tie_field:
-        ranked = found.join(index.docs.select("shard", "doc", F.col(d.tie_field).alias("tie")), ["shard", "doc"], "left")
-    else:
-        ranked = found.withColumn("tie", F.lit(None).cast("double"))
-    best = page(deduplicate(top_k(ranked, d.recall_size)), number, size)
+    best = page(deduplicate(top_k(found, d.recall_size)), number, size)
     stored = [c for c in d.stored_columns() if c not in ("shard", "doc")]
-    # a page is bounded by its size
-    rows = index.docs.select("shard", "doc", *stored).join(F.broadcast(best), ["shard", "doc"]).withColumn("data_type", F.lit(data_type)).orderBy(*order())
-    return Result(rows.select("score", "shard", "data_type", "doc", *(["explanation"] if "explanation" in rows.columns else []), *stored), total_hits(found), query)
+    docs = index.docs.select("shard", "doc", *stored)
+    if size <= MOST_PUSHED:
+        # a page is bounded by its size; as literals its shards and ids reach the scan of the documents
+        ranked = best.collect()
+        best = index.docs.sparkSession.createDataFrame(ranked, best.schema)
+        docs = docs.where(F.col("shard").isin(sorted({r["shard"] for r in ranked})) & F.col("doc").isin([r["doc"] for r in ranked]))
+    rows = docs.join(F.broadcast(best.withColumnRenamed("tie", "__tie")), ["shard", "doc"]).withColumn("data_type", F.lit(data_type)).orderBy(*order(tie="__tie"))
+    return Result(rows.select("score", "shard", "data_type", "doc", *(["explanation"] if explain and "explanation" in rows.columns else []), *stored), total_hits(found), query)
+
+
+#: The largest page that is pushed into the scan as a list of ids; larger ones are joined.
+MOST_PUSHED = 10_000
 
 
 def search(index: Index, q: str, type_name: str = "fuzzy", filter_: str | dict | None = None, page_number: int = 0, size: int = 20, explain: bool = False, stats: str = "global", **options) -> Result:

@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.index import Index
+from ..schema import FieldDef
 from . import ast
 
-K1, B = 1.2, 0.75
-
-
 def d(x: float) -> Column:
     return F.lit(float(x))
 
@@ -30,9 +28,18 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(d(1) + (n - df + d(0.5)) / (df + d(0.5)))
 
 
-def saturation(f: Column, dl: Column, avgdl: Column) -> Column:
+def saturation(f: Column, dl: Column, avgdl: Column, k1: Column, b: Column) -> Column:
     f, dl = f.cast("double"), dl.cast("double")
-    return f * d(K1 + 1) / (f + d(K1) * (d(1 - B) + d(B) * dl / avgdl))
+    return f * (k1 + d(1)) / (f + k1 * (d(1) - b + b * dl / avgdl))
+
+
+def similarity(index: Index, name: Column) -> tuple[Column, Column]:
+    """k1 and b of a field by its name."""
+    k1, b = d(FieldDef.k1), d(FieldDef.b)
+    for f in index.definition.fields:
+        if (f.k1, f.b) != (FieldDef.k1, FieldDef.b):
+            k1, b = F.when(name == f.name, d(f.k1)).otherwise(k1), F.when(name == f.name, d(f.b)).otherwise(b)
+    return k1, b
 
 
 def within(a: str, b: str, most: int, swaps: bool) -> bool:
@@ -115,17 +122,30 @@ class Plan:
         return q
 
 
-def phrase_frequency(positions: list[Column], slop: int) -> Column:
-    """Sum of 1 / (1 + length) over the places where the terms stand within `slop`; 0 if none.
+def phrase_frequency(positions: list[Column], slop: int, distinct: bool = True) -> Column:
+    """Sum of 1 / (1 + length) over the places of the first term where the terms stand within `slop`; 0 if none. The tightest tuple at a place counts.
 
-    Places shifted by their term's number agree in an exact phrase. The tuples are built term by term, keeping (least, greatest) shift of those
-    still within the slop, each beginning at one place of the first term.
+    Places shifted by their term's number agree in an exact phrase. A tuple of length w at a place lies in some window of w + 1 shifts that holds the place's own, so
+    the places are found by intersecting, for each window, the places that each term allows: set operations, linear in the places. Where a term repeats (not
+    distinct), two of a tuple's members could be one place, so tuples are built term by term.
     """
-    if slop == 0:
-        first = positions[0]
-        for k, p in enumerate(positions[1:], 1):
-            first = F.array_intersect(first, _shifted(p, k))
-        return F.size(first).cast("double")
+    if slop and not distinct:
+        return _tuples(positions, slop)
+    first, found, out = positions[0], F.array().cast("array<int>"), d(0)
+    allowed = [{by: _shifted(p, k + by) for by in range(-slop, slop + 1)} for k, p in enumerate(positions[1:], 1)]
+    for width in range(slop + 1):
+        here = []
+        for low in range(-width, 1):
+            inside = [reduce(F.array_union, [each[by] for by in range(low, low + width + 1)]) for each in allowed]
+            here.append(reduce(F.array_intersect, inside, first))
+        new = F.array_except(reduce(F.array_union, here), found) if width else here[0]
+        out = out + F.size(new).cast("double") / d(1 + width)
+        found = F.array_union(found, new) if width < slop else found
+    return out
+
+
+def _tuples(positions: list[Column], slop: int) -> Column:
+    """The tuples are built term by term, keeping (least, greatest) shift of those still within the slop, each beginning at one place of the first term."""
     spans = F.transform(positions[0], lambda x: F.struct(x.alias("lo"), x.alias("hi"), F.array(x).alias("used")))
     for k, p in enumerate(positions[1:], 1):
         spans = _extended(spans, p, k, slop)
@@ -150,7 +170,7 @@ def _shifted(p: Column, k: int) -> Column:
 
 
 def search(index: Index, query: ast.Query, stats: str = "global", explain: bool = False) -> DataFrame:
-    """(shard, doc, score), and an array of what each term contributed if explain is set, of all documents that match.
+    """(shard, doc, score, tie), and an array of what each term contributed if explain is set, of all documents that match.
 
     stats: "global" or "shard", where document frequencies and lengths are taken from.
     """
@@ -168,7 +188,8 @@ def search(index: Index, query: ast.Query, stats: str = "global", explain: bool
     df = p.where(pairs).groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
     of = index.field_stats().where(F.col("field").isin(fields)).groupBy(*by, "field").agg(F.sum("n").alias("n"), (F.sum("total").cast("double") / F.sum("n").cast("double")).alias("avgdl"))
     scored = hits.join(F.broadcast(df), [*by, "field", "term"], "left").join(F.broadcast(of), [*by, "field"], "left") if plan.terms else hits.withColumns({"df": F.lit(1), "n": F.lit(1), "avgdl": d(1)})
-    scored = scored.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("part", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl")))
+    k1, b = similarity(index, F.col("field"))
+    scored = scored.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("part", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
     aggs = []
     for (f, t), i in plan.terms.items():
         here = (F.col("field") == f) & (F.col("term") == t)
@@ -181,15 +202,16 @@ def search(index: Index, query: ast.Query, stats: str = "global", explain: bool
         aggs.append(F.max(F.when((F.col("field") == f) & F.startswith(F.col("term"), F.lit(x)), d(1))).alias(f"x{i}"))
     if explain:
         aggs.append(F.sort_array(F.collect_list(F.when(pairs, F.struct("field", "term", "tf", "df", "dl", "idf", F.col("part").alias("score"))))).alias("explanation"))
-    found = scored.groupBy("shard", "doc").agg(*aggs) if aggs else None
+    tie = F.col(index.definition.tie_field) if index.definition.tie_field else F.lit(None).cast("double")
+    found = scored.groupBy("shard", "doc").agg(*aggs, F.max("tie").alias("__tie")) if aggs else None
     if plan.needs_docs:
-        base = index.docs
-        found = base if found is None else base.join(found, ["shard", "doc"], "left")
+        base = index.docs.withColumn("__tie", tie)
+        found = base if found is None else base.join(found.drop("__tie"), ["shard", "doc"], "left")
     if found is None:
-        found = index.docs.select("shard", "doc").where(F.lit(False))
+        found = index.docs.select("shard", "doc", tie.alias("__tie")).where(F.lit(False))
     match, score = evaluate(tree, plan)
     out = found.where(match).withColumn("score", score)
-    return out.select("shard", "doc", "score", *(["explanation"] if explain and aggs else []))
+    return out.select("shard", "doc", "score", F.col("__tie").alias("tie"), *(["explanation"] if explain and aggs else []))
 
 
 def evaluate(q: ast.Query, plan: Plan) -> tuple[Column, Column]:
@@ -204,9 +226,9 @@ def evaluate(q: ast.Query, plan: Plan) -> tuple[Column, Column]:
     if isinstance(q, ast.Phrase):
         ids = [plan.terms[q.field, t] for t in q.terms]
         there = reduce(Column.__and__, [F.col(f"p{i}").isNotNull() for i in ids])
-        freq = F.when(there, phrase_frequency([F.col(f"p{i}") for i in ids], q.slop)).otherwise(d(0))
-        s = F.col(f"s{ids[0]}")
-        return freq > 0, reduce(Column.__add__, [F.col(f"s{i}")["idf"] for i in ids]) * saturation(freq, s["dl"], s["avgdl"])
+        freq = F.when(there, phrase_frequency([F.col(f"p{i}") for i in ids], q.slop, len(set(ids)) == len(ids))).otherwise(d(0))
+        s, f = F.col(f"s{ids[0]}"), fields[q.field]
+        return freq > 0, reduce(Column.__add__, [F.col(f"s{i}")["idf"] for i in ids]) * saturation(freq, s["dl"], s["avgdl"], d(f.k1), d(f.b))
     if isinstance(q, ast.Range):
         c, tests = F.col(q.field), [F.col(q.field).isNotNull()]
         if q.low is not None:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
+import regex
 from pyspark.sql import functions as F
 
-from ..functions import pinyin, tokens
+from ..functions import pinyin, text, tokens
 from ..operators.index import Index
 from .ast import Bool, Boost, DisMax, Fuzzy, MatchNone, Phrase, Prefix, Query, Term, current_minimum, legacy_minimum
 from .filters import parse, with_filter
@@ -22,9 +23,10 @@ HALF = str.maketrans({c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)})
 
 @dataclass
 class Analysis:
-    """How query strings are read. readings: Han to syllable; None takes ICU's. fold: traditional to simplified, for normalising."""
+    """How query strings are read, by default as the index reads documents. segmenter: None takes the index's. readings: Han to syllable; None takes ICU's. fold:
+    traditional to simplified; None takes ICU's, an empty map none."""
 
-    segmenter: tokens.Segmenter = field(default_factory=tokens.Segmenter)
+    segmenter: tokens.Segmenter | None = None
     readings: dict[str, str] | None = None
     fold: dict[int, int] | None = None
 
@@ -32,10 +34,11 @@ class Analysis:
         return self.readings if self.readings is not None else pinyin.readings()
 
     def normal(self, q: str) -> str:
-        return q.translate(HALF).translate(self.fold or {}).lower()
+        fold = str.maketrans(*text.script_map()) if self.fold is None else self.fold
+        return q.translate(HALF).translate(fold).lower()
 
     def stripped(self, q: str) -> str:
-        return re.sub(r"[\W_]", "", self.normal(q))
+        return regex.sub(r"[^\p{L}\p{Nd}]", "", self.normal(q))
 
     def singles(self, q: str) -> list[str]:
         return tokens.plain_single(self.normal(q))
@@ -45,7 +48,7 @@ class Analysis:
         return pinyin.pinyin_all(self.singles(q), self.table())
 
     def segments(self, q: str) -> list[str]:
-        return [t for t in self.segmenter.cut(self.normal(q)) if t]
+        return [t for t in (self.segmenter or tokens.SEGMENTERS[""]).cut(self.normal(q)) if t]
 
     def with_readings(self, q: str) -> list[str]:
         out: list[str] = []
@@ -210,8 +213,9 @@ def build(index: Index, type_name: str, q: str, filter_: str | dict | None = Non
     if not q or type_name not in kinds:
         return MatchNone("no such type" if q else "empty query")
     a, kind = analysis or Analysis(), kinds[type_name]
-    text = a.normal(q) if normalize_query else q
-    tree = kind.build(index, text, a)
+    if a.segmenter is None:
+        a = replace(a, segmenter=tokens.segmenter_of(index.definition))
+    tree = kind.build(index, a.normal(q) if normalize_query else q, a)
     if isinstance(tree, MatchNone) or not (kind.filtered or filter_always):
         return tree
     return with_filter(tree, parse(filter_, index.definition, positive_floor))

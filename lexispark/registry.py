@@ -284,9 +284,7 @@ def ranked(spark, sf_dir) -> tuple[ix.Index, Query]:
 
 @query("topk_per_shard", RANKED.replace(":k", "5") + " SELECT shard::INTEGER AS shard, doc_id, round(score, 6) AS score FROM top")
 def topk_per_shard(spark, sf_dir):
-    i, q = ranked(spark, sf_dir)
-    found = search(i, q).join(i.docs.select("shard", "doc", F.col("n_chars").alias("tie")), ["shard", "doc"])
-    return se.top_k(found, 5).select("shard", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return se.top_k(search(*ranked(spark, sf_dir)), 5).select("shard", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("merge_dedupe_page", RANKED.replace(":k", "20") + " SELECT doc_id, round(score, 6) AS score, lang FROM top ORDER BY top.score DESC, n_chars DESC, doc_id LIMIT 10 OFFSET 10")
@@ -335,10 +333,19 @@ def range_scan(spark, sf_dir):
     return readers.id_range(table(spark, sf_dir, "lineitem"), "l_orderkey", 100, 900).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("parallel_ranges", "SELECT CASE WHEN l_orderkey <= 250 THEN 0 WHEN l_orderkey <= 500 THEN 1 WHEN l_orderkey <= 750 THEN 2 ELSE 3 END::INTEGER AS part, count(*) AS n FROM lineitem WHERE l_orderkey > 0 AND l_orderkey <= 1000 GROUP BY 1")
+PARTS_OF_KEYS = """
+WITH r AS (SELECT min(l_orderkey) - 1 AS lo, (max(l_orderkey) - min(l_orderkey) + 1) // 4 AS step, (max(l_orderkey) - min(l_orderkey) + 1) % 4 AS more FROM lineitem),
+k AS (SELECT l_orderkey - lo - 1 AS at, step, more FROM lineitem, r)
+SELECT CASE WHEN at < more * (step + 1) THEN at // (step + 1) ELSE more + (at - more * (step + 1)) // step END::INTEGER AS part, count(*) AS n FROM k GROUP BY 1
+"""
+
+
+@query("parallel_ranges", PARTS_OF_KEYS)
 def parallel_ranges(spark, sf_dir):
-    part = readers.range_column(F.col("l_orderkey"), 0, 1000, 4)
-    return readers.id_range(table(spark, sf_dir, "lineitem"), "l_orderkey", 0, 1000).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    lines = table(spark, sf_dir, "lineitem")
+    low, high = lines.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    part = readers.range_column(F.col("l_orderkey"), low - 1, high, 4)
+    return readers.id_range(lines, "l_orderkey", low - 1, high).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
 @query("segment_info")

@@ -22,7 +22,7 @@ SPARK_TYPES = {FieldType.TEXT: T.StringType(), FieldType.KEYWORD: T.StringType()
 class FieldDef:
     """A field. `parents` make it a derived one: where the row has no value, theirs are joined by spaces.
 
-    multi_valued: a keyword field holds a delimited list, and membership tests its items, not the whole string.
+    multi_valued: a keyword field holds a delimited list, and membership tests its items, not the whole string. k1 and b: the similarity's saturation and length norm.
     """
 
     name: str
@@ -34,6 +34,8 @@ class FieldDef:
     delimiter: str | None = None
     normalize: bool = True
     multi_valued: bool = False
+    k1: float = 1.2
+    b: float = 0.75
 
     def __post_init__(self):
         object.__setattr__(self, "type", FieldType(self.type))  # other numbers raise here, at configuration time
@@ -43,12 +45,15 @@ class FieldDef:
 
 @dataclass(frozen=True)
 class IndexDef:
+    """An index. segmenter: the dictionary segmenter of its `segment` fields, by name, for documents and queries alike (see tokens.add_segmenter)."""
+
     name: str
     fields: tuple[FieldDef, ...]
     id_field: str = "id"
     shards: int = 50
     recall_size: int = 200
     tie_field: str | None = "company_score"
+    segmenter: str = ""
     by_name: dict[str, FieldDef] = field(init=False, hash=False, compare=False)
 
     def __post_init__(self):
