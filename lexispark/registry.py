@@ -335,8 +335,8 @@ def range_scan(spark, sf_dir):
 
 PARTS_OF_KEYS = """
 WITH r AS (SELECT min(l_orderkey) - 1 AS lo, (max(l_orderkey) - min(l_orderkey) + 1) // 4 AS step, (max(l_orderkey) - min(l_orderkey) + 1) % 4 AS more FROM lineitem),
-k AS (SELECT l_orderkey - lo - 1 AS at, step, more FROM lineitem, r)
-SELECT CASE WHEN at < more * (step + 1) THEN at // (step + 1) ELSE more + (at - more * (step + 1)) // step END::INTEGER AS part, count(*) AS n FROM k GROUP BY 1
+k AS (SELECT l_orderkey - lo - 1 AS nth, step, more FROM lineitem, r)
+SELECT CASE WHEN nth < more * (step + 1) THEN nth // (step + 1) ELSE more + (nth - more * (step + 1)) // step END::INTEGER AS part, count(*) AS n FROM k GROUP BY 1
 """
 
 
