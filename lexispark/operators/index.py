@@ -7,6 +7,7 @@ orders equal scores, are stored with each posting, so that scoring needs no join
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -355,10 +356,19 @@ class Store:
         return {"index": self.definition.name, "locked": self._fs.exists(self._path(f"{self.root}/build.lock")), "generation": self.pointer()}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, that of the greatest order value; of equals the one that sorts last."""
     whole = F.struct(*rows.columns)
-    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, F.struct(F.col(order), F.xxhash64(whole))).alias("__row")).select("__row.*")
+    # two columns alone, so none of the rows' own names can clash
+    return rows.select(F.col(key).alias("key"), whole.alias("row")).groupBy("key").agg(F.max_by("row", F.struct(F.col(f"row.{order}"), F.xxhash64("row"))).alias("row")).select("row.*")
 
 
 def latest(docs: DataFrame) -> DataFrame:

@@ -235,13 +235,40 @@ over_samples("characters", tokens.characters, "array_to_string(list_filter(strin
 over_samples("ngram_tokens", lambda c: tokens.ngrams(text.simplified(c, FOLDS)), f"(SELECT coalesce(string_agg(g, '|' ORDER BY i, k), '') FROM (SELECT i, k, CASE WHEN k = 9 THEN x ELSE substr(x, i, k) END AS g FROM (SELECT {STRIP} AS x), (SELECT unnest(range(1, 200)) AS i), (SELECT unnest([1, 2, 3, 9]) AS k) WHERE (k < 9 AND i + k - 1 <= length(x)) OR (k = 9 AND i = 199 AND length(x) > 3)) WHERE NOT regexp_matches(g, '[a-zA-z]'))")
 over_samples("pinyin_full", lambda c: pinyin.full_pinyin(c, SOUNDS), "array_to_string(list_transform(list_filter(string_split(v, ''), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[a-z]$') THEN x ELSE coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SOUNDS.items()) + "}, x)[1], '') END), '')")
 over_samples("pinyin_initials", lambda c: pinyin.initials(c, SOUNDS), f"regexp_replace(translate(regexp_replace(v, '[^a-z一-龥]', '', 'g'), '{''.join(SOUNDS)}', '{''.join(x[0] for x in SOUNDS.values())}'), '[^a-z]', '', 'g')")
-over_samples("single_pinyin_tokens", lambda c: tokens.single_pinyin(c, SOUNDS), None)
-over_samples("cnpinyin_tokens", lambda c: tokens.with_pinyin(tokens.segment(c, tokens.Segmenter(("长沙", "蒙古", "内蒙古", "有限公司", "药业"))), SOUNDS), None)
-over_samples("ik_tokens", lambda c: tokens.segment(c, tokens.Segmenter(("长沙", "蒙古", "内蒙古", "有限公司", "药业"))), None)
-over_samples("token_then_pinyin", lambda c: tokens.then_pinyin(tokens.words(c), SOUNDS), None)
-over_samples("only_pinyin_tokens", lambda c: tokens.only_pinyin(tokens.words(c), SOUNDS), None)
-over_samples("token_offsets", lambda c: tokens.rendered(tokens.words(c), F.lower("v")), None)
-over_samples("rescore_distance", lambda c: matching.rescore(c, tuple("我长沙")), None)
+WORDS_OF = r"regexp_extract_all({}, '[\p{{Han}}]|[\p{{Latin}}\p{{Nd}}]+')"
+SOUND_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SOUNDS.items()) + "}"
+READ = f"lambda c: CASE WHEN regexp_matches(c, '^[a-z]$') THEN c ELSE coalesce(map_extract({SOUND_MAP}, c)[1], '') END"
+READING = f"array_to_string(list_transform(string_split(t, ''), {READ}), '')"
+EACH = f"CASE WHEN length(t) > 1 AND NOT regexp_matches(t, '^[a-z]') THEN list_transform(string_split(t, ''), {READ}) ELSE [] END"
+
+
+def full(tokens_sql: str) -> str:
+    """The tokens that are not empty, joined by |."""
+    return f"array_to_string(list_filter({tokens_sql}, lambda x: x <> ''), '|')"
+
+
+DICTIONARY = ("长沙", "蒙古", "内蒙古", "有限公司", "药业")
+SEGMENTS = {
+    SAMPLES[0]: "阿|萨|德|个|梵|蒂|冈|鬼|地|方|个|abc|测|试", SAMPLES[1]: "abc|测|试", SAMPLES[2]: "我|是|长沙|ren", SAMPLES[3]: "abc|12", SAMPLES[4]: "内蒙古|蒙古|京|新|药业|有限公司", SAMPLES[11]: "公|勇|勇", SAMPLES[12]: "tom|jerry|2023",
+}
+READ_SEGMENTS = {
+    **SEGMENTS, SAMPLES[2]: "我|wo|是|shi|长沙|changsha|长|chang|沙|sha|ren", SAMPLES[3]: "abc|12|1|2", SAMPLES[11]: "公|gong|勇|yong|勇|yong", SAMPLES[12]: "tom|jerry|2023|2|0|2|3",
+    SAMPLES[4]: "内蒙古|neimenggu|内|nei|蒙|meng|古|gu|蒙古|menggu|蒙|meng|古|gu|京|新|药业|药|业|有限公司|gong|有|限|公|gong|司",
+}
+PLACES = {
+    SAMPLES[0]: "阿:0/1 萨:1/2 德:2/3 个:4/5 梵:5/6 蒂:6/7 冈:7/8 鬼:9/10 地:11/12 方:12/13 个:13/14 abc:15/18 測:20/21 試:21/22", SAMPLES[1]: "abc:0/3 測:5/6 試:6/7", SAMPLES[2]: "我:0/1 是:1/2 长:2/3 沙:3/4 ren:4/7",
+    SAMPLES[3]: "ａｂｃ:0/3 １２:4/6", SAMPLES[4]: "内:0/1 蒙:1/2 古:2/3 京:3/4 新:4/5 药:5/6 业:6/7 有:7/8 限:8/9 公:9/10 司:10/11", SAMPLES[11]: "公:0/1 勇:1/2 勇:2/3", SAMPLES[12]: "tom:0/3 jerry:6/11 2023:12/16",
+}
+LATIN_ONLY = {v: v for v in SAMPLES[5:11]}
+
+over_samples("single_pinyin_tokens", lambda c: tokens.single_pinyin(c, SOUNDS), full(f"list_transform({WORDS_OF.format(KEEP)}, lambda t: {READING})"))
+over_samples("cnpinyin_tokens", lambda c: tokens.with_pinyin(tokens.segment(c, tokens.Segmenter(DICTIONARY)), SOUNDS), as_case({**READ_SEGMENTS, **LATIN_ONLY}))
+over_samples("ik_tokens", lambda c: tokens.segment(c, tokens.Segmenter(DICTIONARY)), as_case({**SEGMENTS, **LATIN_ONLY}))
+PAIRS = f"list_transform({WORDS_OF.format('lower(v)')}, lambda t: [t, {READING}])"
+over_samples("token_then_pinyin", lambda c: tokens.then_pinyin(tokens.words(c), SOUNDS), f"array_to_string(flatten(list_slice({PAIRS}, 1, coalesce(nullif(list_position(list_transform({PAIRS}, lambda x: x[2]), ''), 0) - 1, 1000))), '|')")
+over_samples("only_pinyin_tokens", lambda c: tokens.only_pinyin(tokens.words(c), SOUNDS), full(f"flatten(list_transform({WORDS_OF.format('lower(v)')}, lambda t: list_concat([{READING}], {EACH})))"))
+over_samples("token_offsets", lambda c: tokens.rendered(tokens.words(c), F.lower("v")), as_case({k: "==>1|".join(v.split()) + "==>1" for k, v in {**PLACES, **{v: f"{v}:0/{len(v)}" for v in LATIN_ONLY}}.items()}))
+over_samples("rescore_distance", lambda c: matching.rescore(c, tuple("我长沙")), f"CASE v WHEN '{SAMPLES[2]}' THEN 24558691718004736 ELSE 0 END::BIGINT")
 over_samples("multi_pattern_positions", lambda c: F.transform(matching.positions(c, "勇"), lambda i: i.cast("string")), "array_to_string(list_transform(list_filter(range(1, length(v) + 1), lambda i: substr(v, i, 1) = '勇'), lambda i: CAST(i - 1 AS VARCHAR)), '|')")
 over_samples("cutoff_chars", lambda c: text.cut(c, 5), "substr(trim(v), 1, 5)")
 over_samples("cutoff_words", lambda c: text.cut(c, 2, True), r"regexp_extract(trim(v), '^(?:[^一-龥0-9A-Za-z]*(?:[一-龥]|[0-9]+|[A-Za-z]+)){0,2}', 0)")
@@ -348,9 +375,32 @@ def parallel_ranges(spark, sf_dir):
     return readers.id_range(lines, "l_orderkey", low - 1, high).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("segment_info")
+def stored(spark, sf_dir) -> ix.Store:
+    """The documents' index as tables of a store."""
+    store = ix.Store(spark, ix.scratch(spark, "store"), DOCUMENTS)
+    store.create(table(spark, sf_dir, "documents"))
+    return store
+
+
+@query("segment_info", f"SELECT (doc_id % {SHARDS})::INTEGER AS shard, count(*)::BIGINT AS max_doc, count(*)::BIGINT AS live_docs, 1::BIGINT AS segments FROM documents GROUP BY 1")
 def segment_info(spark, sf_dir):
-    return ix.segment_info(ix.documents(table(spark, sf_dir, "documents"), DOCUMENTS)).groupBy("shard").agg(F.sum("max_doc").alias("max_doc"), F.sum("live_docs").alias("live_docs"))
+    return stored(spark, sf_dir).info().groupBy("shard").agg(F.sum("max_doc").alias("max_doc"), F.sum("live_docs").alias("live_docs"), F.count("*").alias("segments"))
+
+
+NEW_TEXTS = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'zebra crossing ' || coalesce(text, '') ELSE text END AS body FROM documents UNION ALL SELECT doc_id + 10000000, 'zebra alone' FROM documents WHERE doc_id % 10 = 0"
+
+
+@query("upsert_search", f"WITH {bm25("term IN ('zebra', 'the')", NEW_TEXTS)} SELECT doc_id, round(sum(s), 6) AS score FROM scored GROUP BY doc_id HAVING bool_or(term = 'zebra')")
+def upsert_search(spark, sf_dir):
+    """Two versions of a tenth of the documents, of which the newer counts, and as many new ones, upserted into a store and searched there."""
+    store, d = stored(spark, sf_dir), table(spark, sf_dir, "documents")
+    tenth = d.where("doc_id % 10 = 0")
+    old = tenth.withColumn("text", F.lit("zzz to be replaced at once")).withColumn("version", F.lit(1))
+    new = tenth.withColumn("text", F.concat(F.lit("zebra crossing "), F.coalesce("text", F.lit("")))).withColumn("version", F.lit(2))
+    more = tenth.withColumn("doc_id", F.col("doc_id") + 10000000).withColumn("text", F.lit("zebra alone")).withColumn("version", F.lit(1))
+    store.upsert(old.union(new).union(more), "version", ("registry", 0))
+    store.upsert(old, "version", ("registry", 0))  # a batch that comes again changes nothing
+    return out(search(store.load(), Bool(must=(Term("text", "zebra"),), should=(Term("text", "the"),), minimum=0)))
 
 
 @query("vocab_stats", f"WITH {tok()} SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term")
