@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import companies
 from .functions import matching, pinyin, text, tokens
 from .operators import index as ix
 from .operators import search as se
@@ -417,3 +418,7 @@ def field_lengths(spark, sf_dir):
 def conversation_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return out(search(ix.build(c, DOCUMENTS, ["text"]), Bool(must=(Term("text", "the"), Term("text", "of")))))
+
+
+QUERIES.update(companies.queries())
+ORACLES.update(companies.oracles())
