@@ -46,8 +46,8 @@ BASE, OWN, SEGMENT, BASE_DOCUMENTS = 2048, 16384, 48, 300
 #: How a gram must stand out: ratio of document shares, and the test's statistic.
 RATIO, LIKELIHOOD = 8, 14
 FOLDS = 3
-#: What a toxic document counts for in calibration: one that is missed weighs as much as so many ordinary ones that are not.
-WORTH = 4.0
+#: What the toxic documents of the sample weigh together in calibration, the ordinary ones being 1, however many there are of each.
+BALANCE = 0.6
 PRIMER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
 #: The fast strategy with a target length is the one that leaves literals alone.
 PARAMETERS = dict(window_log=17, chain_log=16, hash_log=17, search_log=1, min_match=GRAM, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -197,7 +197,7 @@ def train(texts: list[bytes], y: np.ndarray) -> dict:
         toxic, ordinary = compressor(c[1]), compressor(c[0])
         for i in np.flatnonzero(fold == k):
             d[i] = distances(texts[kept[i]], toxic, ordinary)
-    best, worth = None, np.where(z == 1, WORTH, 1.0)
+    best, worth = None, np.where(z == 1, BALANCE * (z == 0).sum() / max(1, (z == 1).sum()), 1.0)
     for threshold in range(1, 9):
         x = np.array([features(v, threshold) for v in d])
         w = logistic(x, z.astype(float), worth=worth)
