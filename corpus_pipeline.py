@@ -1,7 +1,11 @@
 """A training corpus from documents: toxic texts go, near-duplicates and benchmark leaks go, personal data is masked, sources are mixed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. A stage works on all rows
-that its predecessor kept. The last one says how many words of each document the mix takes.
+that its predecessor kept. The last one says how many words of each document the mix takes; the texts it takes them from are those that the stage before wrote.
+
+Every stage takes nulls in any column, empty and very long texts, rows that repeat, empty tables and further columns of any name, as the operator that it calls says. A null text passes the toxicity stage as an
+empty one; null and empty texts are near-duplicates of each other, so one row of them stays; they hold no benchmark item and no personal data, and add no words to the mix. Of rows that repeat
+entirely one stays.
 """
 
 from __future__ import annotations
@@ -13,12 +17,12 @@ from lexispark.llm.common import table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold; the model is fitted to the labelled ones among docs."""
+    """Documents below the toxicity threshold; the model is fitted to the labelled ones among docs. Without labels of both classes all stay."""
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id."""
+    """One document of each near-duplicate group, that of the smallest doc_id, a null one last; rows that tie go by hashes of their columns."""
     return simhash_dedup.keep_one(docs)
 
 
