@@ -17,7 +17,8 @@ clears all its windows. The steps:
    are next to the seed, so only contents that agree on these can share one. What lies beyond the range's reach is cut off, and contents that are
    now equal become one row. Groups that are still too large are halved again; a range of a single o leaves one row for a group, so this ends after log2(span)
    steps. A passage that very many documents share, each in its own surroundings, never meets in one task, and each group goes through step 4.
-6. The windows found go back to all runs of that content, and by document to the texts.
+6. The windows found go back to all contents that became one row, which are dealt to tasks by their number, with a copy of the windows for each such task: never
+   more copies than contents. They go back to all runs of a content, and by document to the texts.
 
 No step forms pairs of documents. Texts of any length are read whole, in segments that overlap by a window. Documents are told apart by id and text hash, null-safe, so rows that repeat entirely
 count as two places and get equal results.
@@ -37,8 +38,8 @@ from .common import mix64, sent, shared, utf8, written
 
 #: Contents of one group that one task resolves, at most (some 1 MB); larger groups are split.
 HOT = 2_000
-#: Tasks that the contents which became one row are dealt to, when its windows go back to them.
-PARTS = 16
+#: Contents which became one row that one task takes, about, when its windows go back to them; more are dealt to several tasks.
+DEAL = 256
 #: Windows that are worked on at once.
 SEGMENT = 1 << 18
 LOW = np.uint64((1 << 20) - 1)
@@ -183,12 +184,23 @@ class Repeats:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), *TYPES], strict=True)], names=["p_anchor", "p_content", "shift", *COLUMNS])
 
         halves = written(contents.join(large, F.col("anchor") == F.col("h_anchor"), "left_semi").dropDuplicates(["anchor", "content"]).mapInArrow(halve, f"p_anchor long, p_content long, shift int, {SCHEMA}"), "halves")
-        fewer = halves.groupBy("anchor", "content").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in COLUMNS[3:]])
-        flags = self.resolved(written(fewer.select(*COLUMNS), "contents")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        back = halves.select("p_anchor", "p_content", "shift", "anchor", "content", F.pmod("p_content", F.lit(PARTS)).alias("p_part")).join(flags, (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content")) & (F.col("p_part") == F.col("part")))
-        moved = back.select("p_anchor", "p_content", F.transform("wins", lambda w: w + F.col("shift")).alias("wins")).groupBy("p_anchor", "p_content").agg(F.flatten(F.collect_list("wins")).alias("wins"))
+        fewer = written(halves.groupBy("anchor", "content").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in COLUMNS[3:]], F.count("*").alias("halves")).select(*COLUMNS, "halves"), "contents")
+        moved = self.back(halves, fewer, self.resolved(fewer.select(*COLUMNS))).select("p_anchor", "p_content", F.transform("wins", lambda w: w + F.col("shift")).alias("wins")).groupBy("p_anchor", "p_content").agg(F.flatten(F.collect_list("wins")).alias("wins"))
         return settled.union(moved.select(F.col("p_anchor").alias("f_anchor"), F.col("p_content").alias("f_content"), "wins"))
 
+    def back(self, halves: DataFrame, fewer: DataFrame, flags: DataFrame) -> DataFrame:
+        """halves with the flags of the rows that they became; a row of many halves has a copy of its flags for each task that these are dealt to."""
+        halves = halves.select("p_anchor", "p_content", "shift", "anchor", "content")
+        same = (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content"))
+        many = fewer.where(F.col("halves") > DEAL).select(F.col("anchor").alias("m_anchor"), F.col("content").alias("m_content"), F.ceil(F.col("halves") / DEAL).cast("int").alias("tasks"))
+        n = many.count()
+        if not n:
+            return halves.join(flags, same)
+        many, tasks = sent(many, n), F.coalesce("tasks", F.lit(1))
+        dealt = halves.join(many, (F.col("anchor") == F.col("m_anchor")) & (F.col("content") == F.col("m_content")), "left").select(*halves.columns, F.pmod("p_content", tasks).alias("task"))
+        copies = flags.join(many, (F.col("f_anchor") == F.col("m_anchor")) & (F.col("f_content") == F.col("m_content")), "left").select(*flags.columns, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("of_task"))
+        return dealt.join(copies, same & (F.col("task") == F.col("of_task")))
+
     def settled(self, contents: DataFrame) -> DataFrame:
         """flags of contents whose groups fit a task."""
         resolve = self.resolve

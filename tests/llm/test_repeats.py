@@ -66,6 +66,35 @@ def test_bytes_match_brute_force(spark, monkeypatch, hot):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(s), sum(gone), spans, bytes(b for b, g in zip(s, gone, strict=True) if not g))
 
 
+def made(plan, kind):
+    """Rows that the plan's nodes of a kind have made."""
+    name = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.longMetric("numOutputRows").value() if kind in name and (kind != "Join" or str(plan.joinType()) == "Inner") else 0
+    return own + sum(made(p, kind) for p in below)
+
+
+@pytest.mark.parametrize("deal", [256, 3, 1])
+def test_windows_go_back_without_more_copies_than_contents(spark, monkeypatch, deal):
+    """One passage in many texts, each with an edit and surroundings of its own."""
+    monkeypatch.setattr(repeats.Repeats.__init__, "__defaults__", (5,))
+    monkeypatch.setattr(repeats, "DEAL", deal, raising=False)
+    r = random.Random(4)
+    words = lambda n: ["".join(r.choice("abcde") for _ in range(5)) for _ in range(n)]
+    passage, data = words(70), []
+    for _ in range(60):
+        p = list(passage)
+        p[r.randrange(len(p))] = "edit"
+        data.append(" ".join(words(10) + p + words(10)))
+    df = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"))
+    got = {row["doc_id"]: bytes(row["kept"]) for row in df.collect()}
+    seqs = [t.encode() for t in data]
+    assert got == {i: bytes(b for b, g in zip(s, gone, strict=True) if not g) for i, (s, gone) in enumerate(zip(seqs, brute(seqs, 200), strict=True))}
+    plan = df._jdf.queryExecution().executedPlan()
+    assert made(plan, "Generate") <= made(plan, "Join")
+    assert (made(plan, "Generate") > 0) == (deal < 256)  # copies only where a row has more contents than a task takes
+
+
 def test_odd_rows(spark, odd, none):
     words = substring_dedup.remove_repeats(odd).collect()
     assert len(words) == odd.count() and {r["n_removed"] for r in words if r["doc_id"] is None} == {0}
